@@ -71,3 +71,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
 def crc_remainder(doc_id: str, modulus: int):
     """crc32 of the document id's decimal text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
+
+
+def process_cache(key, make):
+    """``make()`` once per Python worker process; workers are reused by later tasks."""
+    import sys
+
+    store = sys.__dict__.setdefault("_docspark_process_cache", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
