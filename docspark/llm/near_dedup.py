@@ -5,8 +5,10 @@
    so that exact copies never meet each other again.
 2. A band value shared by several nodes makes them candidates. Nodes are compared with a hub
    of their bucket, not with each other; what is confirmed joins one component. Buckets that
-   still hold several components go on with 1, 2, 4, ... further hubs a round until every
+   still hold several components go on with 8, 64, ... further hubs a round until every
    pair of different components in each bucket has been compared, so that no candidate is lost.
+   Shingles that no other candidate has bound each intersection exactly: nodes that the bound
+   keeps from every partner leave their buckets, and pairs beyond it are never made.
 3. A comparison takes both documents' whole sets. Members of a hub with many candidates are
    dealt over salted groups, each with its own copy of the hub.
 4. Components come from repeated star contraction over tables in the shared folder.
@@ -127,10 +129,9 @@ def _sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, group: int = 128) -> DataFrame:
-    """Those (hub, node) pairs whose whole sets satisfy 100 * intersection >= percent * union."""
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int, group: int = 128) -> DataFrame:
+    """Those (hub, node) pairs whose whole sets satisfy 100 * intersection >= percent * union; ``texts``: (node, data)."""
     load = pairs.groupBy("hub").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("data"))
     dealt = pairs.join(load, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"))
     hubs = load.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
     rows = dealt.unionByName(hubs).join(texts, "node").repartition("hub", "part").sortWithinPartitions("hub", "part", "member")
@@ -179,6 +180,20 @@ def components(edges: DataFrame) -> DataFrame:
         e = nxt
 
 
+def own_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(node, own): how many shingles of a node no other node of ``texts`` has; nodes without any are left out."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            sets = [shingle_set(t.as_py(), k, hashes) for t in b.column("data")]
+            node = np.repeat(b.column("node").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(node)], names=["shingle", "node"])
+
+    once = texts.mapInArrow(run, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    return once.groupBy("node").agg(F.count("*").alias("own"))
+
+
 def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-7) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, a row per document."""
     bands = bands_for(percent / 100, rows, miss)
@@ -186,37 +201,48 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: f
     nodes = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.min_by("keys", "doc_id").alias("keys"))
     nodes = materialize(nodes)
     member = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    crowded = member.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    # only nodes of shared buckets go on
-    active = materialize(member.join(crowded.select("key", "hub"), "key"))
-    sizes = nodes.select("node", "n")
-
-    def near(pairs):
-        other = sizes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-        fits = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
-        return pairs.join(other, "hub").where(fits).select("hub", "node").distinct()
-
+    crowded = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    active = materialize(member.join(crowded, "key"))
+    # texts of nodes in shared buckets, which all comparisons read
+    candidates = active.select("node").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("data")).join(candidates, "node", "left_semi")
+    texts = materialize(texts)
+    # shingles that no other candidate has lie in no intersection: two nodes share at most ``common``
+    own = own_shingles(texts, k)
+    shared = active.select("node", "n").distinct().join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    shared = materialize(shared.where(f"100 * common >= {percent} * n"))
+    active = materialize(active.select("key", "node").join(shared, "node"))
+
+    def possible(n, common, hub_n, hub_common):
+        return f"100 * least({common}, {hub_common}) >= {percent} * ({n} + {hub_n} - least({common}, {hub_common}))"
+
+    def as_hubs(df, *more):
+        return df.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), *more)
+
+    reach = possible("n", "common", "hub_n", "hub_common")
     # first every node against the smallest hub of all its buckets: one comparison a node
-    first = active.where("node != hub").groupBy("node", "n").agg(F.min("hub").alias("hub"))
-    roots = None
-    found = confirm(materialize(near(first)), docs, k, percent)
-    rest = active.select("key", "node", "n")
-    taken = 1
+    hubs = as_hubs(active.groupBy("key").agg(F.min(F.struct("node", "n", "common")).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", "h.*"))
+    first = active.join(hubs, "key").where("node != hub").where(reach).groupBy("node").agg(F.min("hub").alias("hub"))
+    found = confirm(materialize(first.select("hub", "node")), texts, k, percent)
+    roots, rest, taken = None, active, 8
     while True:
         found = found.select(F.col("hub").alias("a"), F.col("node").alias("b"))
         if roots is not None:
             found = found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(found)
         placed = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-        ranked = placed.join(mixed, "key", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("node")))
-        ranked = materialize(ranked)
-        hubs = ranked.where(F.col("rank") <= taken).select("key", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("rank").alias("hub_rank"))
-        if hubs.isEmpty():
+        # nodes that can reach the smallest of their bucket, and buckets where such nodes are of several components
+        smallest = placed.groupBy("key").agg(F.min("n").alias("least_n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", "least_n")
+        able = placed.join(smallest, "key").where(f"100 * common >= {percent} * (n + least_n - common)").drop("least_n")
+        mixed = able.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+        able = able.join(mixed, "key", "left_semi")
+        ranked = materialize(able.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("node"))))
+        if ranked.isEmpty():
             break
-        pairs = ranked.join(hubs, "key").where("rank > hub_rank AND root != hub_root").select("hub", "node", "n").distinct()
-        found = confirm(materialize(near(pairs)), docs, k, percent)
-        rest, taken = ranked.where(F.col("rank") > taken).select("key", "node", "n"), taken * 2
+        hubs = as_hubs(ranked.where(F.col("rank") <= taken), F.col("root").alias("hub_root"), F.col("rank").alias("hub_rank"))
+        pairs = ranked.join(hubs, (ranked["key"] == hubs["key"]) & F.expr("rank > hub_rank AND root != hub_root") & F.expr(reach)).select("hub", "node").distinct()
+        found = confirm(materialize(pairs), texts, k, percent)
+        rest, taken = ranked.where(F.col("rank") > taken).select("key", "node", "n", "common"), taken * 8
     placed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
