@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, process_cache
 from .near_dedup import mix, step_key
 
 SUBSETS = 24
@@ -59,13 +59,9 @@ class Lexicon:
     def __init__(self, terms: list[bytes], least: int = 4):
         self.terms = sorted(terms)
         self.least = least
-
-    def prepare(self) -> Lexicon:
-        if not hasattr(self, "at"):
-            self.at = {t: i for i, t in enumerate(self.terms)}
-            self.zeros = _zeros(self.terms)
-            self.raw = np.array([xxhash.xxh3_64_intdigest(t) for t in self.terms], np.uint64)
-        return self
+        self.at = {t: i for i, t in enumerate(self.terms)}
+        self.zeros = _zeros(self.terms)
+        self.raw = np.array([xxhash.xxh3_64_intdigest(t) for t in self.terms], np.uint64)
 
     def fingerprint(self, data: bytes | None) -> str:
         words = terms_of(data)
@@ -152,7 +148,10 @@ def edited(own: str, following: str) -> str:
 def fingerprint(docs: DataFrame, rows_per_range: int = 1000, most_ranges: int = 4096, **band) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    lex = spark.sparkContext.broadcast(lexicon(docs, **band))
+    terms = lexicon(docs, **band).terms
+    digest = hashlib.blake2b(b" ".join(terms)).digest()
+    # bounded by the band's lower end and measured in lexicon()
+    sent = spark.sparkContext.broadcast(terms)
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     ids = docs.select(place.alias("place"))
     ranges = int(min(most_ranges, max(1, docs.count() // rows_per_range)))
@@ -172,7 +171,7 @@ def fingerprint(docs: DataFrame, rows_per_range: int = 1000, most_ranges: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        words = lex.value.prepare()
+        words = process_cache(("i-match", digest), lambda: Lexicon(sent.value))
         at = None
         for b in batches:
             out = []

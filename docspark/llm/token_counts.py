@@ -44,7 +44,7 @@ def lengths(docs: DataFrame, *keep: str, rank_file: str = RANK_FILE, pattern: st
     def run(batches):
         encode = process_cache(("tiktoken", hash(ranks.value), pattern), lambda: _encoding(ranks.value, pattern)).encode_ordinary
         for b in batches:
-            counts = pa.array([len(encode(t.as_py() or "")) for t in b.column("_text")], pa.long())
+            counts = pa.array([len(encode(t.as_py() or "")) for t in b.column("_text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), counts], names=[*keep, "n_tokens"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ddl + "n_tokens long")

@@ -163,10 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, rows: int = 2500, m
     for terms, b in zip(have, y):
         seen[int(b)].update(terms)
     n0, n1 = (y == 0).sum(), (y == 1).sum()
-    lift = {f: np.log((c + 0.5) / (n1 + 1)) - np.log((seen[0][f] + 0.5) / (n0 + 1)) for f, c in seen[1].items() if c + seen[0][f] >= 5}
-    strong = sorted((f for f, x in lift.items() if x > np.log(8) and seen[1][f] >= max(4, 0.004 * n1)), key=lambda f: (-lift[f] * np.sqrt(seen[1][f]), f))
+    # association with the class: chi-square of presence, signed; chance associations of rare terms stay below the limits
+    chi = {}
+    for f in {f for f, c in seen[1].items() if c >= 4} | {f for f, c in seen[0].items() if c >= 30}:
+        a, b = seen[1][f], seen[0][f]
+        gap, expected = a * n0 - b * n1, (a + b) * (n0 + n1 - a - b) * n0 * n1
+        chi[f] = np.sign(gap) * gap * gap * (n0 + n1) / max(expected, 1)
+    strong = sorted((f for f, x in chi.items() if x > 30 and seen[1][f] * n0 > 8 * seen[0][f] * n1), key=lambda f: (-chi[f], f))
     voters = [w for w in LEXICON if seen[1][w] + seen[0][w] >= 2] + [f for f in strong if f not in LEXICON][:mined]
-    chosen = sorted(lift, key=lambda f: (-abs(lift[f]) * np.sqrt(seen[1][f] + seen[0][f]), f))[:features]
+    chosen = sorted((f for f, x in chi.items() if abs(x) > 20), key=lambda f: (-abs(chi[f]), f))[:features]
     vocabulary = {f: i for i, f in enumerate(dict.fromkeys([*voters, *LEXICON, *chosen]))}
     model = Model(vocabulary, set(voters) | set(LEXICON))
     built = [model.row(t) for t in texts]
@@ -174,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, rows: int = 2500, m
     several = np.array([[x[0] > np.log(3), x[2] > 0, x[0] == 0] for _, x in built], float)
     posterior = label_model(np.hstack([fires, several]), float(y.mean()))
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
-    _train(model, built, posterior, np.ones(len(y)))
+    _train(model, built, posterior, np.ones(len(y)), decay=1 / len(y) + 1e-4)
     margins = np.array([model.margin(*r) for r in built])
     model.scale, model.shift = logistic_scale(margins, y, weight)
     return model
