@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from docspark.llm import mixing, near_dedup, quality_rules
+from docspark.llm import mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec
 from docspark.llm.common import read_table, shared_dir
 
 
@@ -18,12 +18,22 @@ def dedup(spark, docs, sf_dir):
     return near_dedup.keep_one(docs, k=5, percent=80)
 
 
+def secrets(spark, docs, sf_dir):
+    """Secrets in texts are masked; every document stays."""
+    return secret_scan.redact(docs)
+
+
 def mix(spark, docs, sf_dir):
     """Each document as often as the mix takes it."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality_rules", quality), ("near_dedup", dedup), ("mixing", mix)]
+def encode(spark, docs, sf_dir):
+    """Token ids of each document that the mix holds."""
+    return sentencepiece_codec.encode(docs, "doc_id", "lang", "source")
+
+
+STAGES = [("quality_rules", quality), ("near_dedup", dedup), ("secret_scan", secrets), ("mixing", mix), ("sentencepiece", encode)]
 
 #: The isolation forest and the encoder are no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
