@@ -220,9 +220,11 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: f
         return df.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), *more)
 
     reach = possible("n", "common", "hub_n", "hub_common")
-    # first every node against the smallest hub of all its buckets: one comparison a node
-    hubs = as_hubs(active.groupBy("key").agg(F.min(F.struct("node", "n", "common")).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", "h.*"))
-    first = active.join(hubs, "key").where("node != hub").where(reach).groupBy("node").agg(F.min("hub").alias("hub"))
+    # first every node against one hub of its buckets: that with the smallest share of shingles of its own,
+    # which in a group of edited copies is the text closest to all of them
+    alone = (F.col("n") - F.col("common")) / F.col("n")
+    hubs = as_hubs(active.groupBy("key").agg(F.min(F.struct(alone.alias("alone"), "node", "n", "common")).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", "h.*"), "alone")
+    first = active.join(hubs, "key").where("node != hub").where(reach).groupBy("node").agg(F.min(F.struct("alone", "hub")).alias("h")).select("node", "h.hub")
     found = confirm(materialize(first.select("hub", "node")), texts, k, percent)
     roots, rest, taken = None, active, 8
     while True:
@@ -236,7 +238,7 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: f
         able = placed.join(smallest, "key").where(f"100 * common >= {percent} * (n + least_n - common)").drop("least_n")
         mixed = able.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
         able = able.join(mixed, "key", "left_semi")
-        ranked = materialize(able.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("node"))))
+        ranked = materialize(able.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(alone, "node"))))
         if ranked.isEmpty():
             break
         hubs = as_hubs(ranked.where(F.col("rank") <= taken), F.col("root").alias("hub_root"), F.col("rank").alias("hub_rank"))
