@@ -233,11 +233,12 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: f
             found = found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(found)
         placed = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # nodes that can reach the smallest of their bucket, and buckets where such nodes are of several components
-        smallest = placed.groupBy("key").agg(F.min("n").alias("least_n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", "least_n")
-        able = placed.join(smallest, "key").where(f"100 * common >= {percent} * (n + least_n - common)").drop("least_n")
-        mixed = able.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-        able = able.join(mixed, "key", "left_semi")
+        # components by bucket, and buckets where two or more could reach the smallest node there
+        parts = placed.groupBy("key", "root").agg(F.max("common").alias("common"), F.min("n").alias("n"))
+        several = parts.groupBy("key").agg(F.min("n").alias("least_n"), F.count("*").alias("c")).where("c > 1").select("key", "least_n")
+        reaches = f"100 * common >= {percent} * (n + least_n - common)"
+        mixed = parts.join(several, "key").where(reaches).groupBy("key").agg(F.first("least_n").alias("least_n"), F.count("*").alias("c")).where("c > 1").select("key", "least_n")
+        able = placed.join(mixed, "key").where(reaches).drop("least_n")
         ranked = materialize(able.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(alone, "node"))))
         if ranked.isEmpty():
             break
