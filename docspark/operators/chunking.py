@@ -44,7 +44,8 @@ def chunk(rows: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     )
     title = F.expr("CASE WHEN c.title_at = -2 THEN 'Таблица' WHEN c.title_at >= 0 THEN get(elements, c.title_at).text END")
     every = [c for c in rows.columns if c != "elements"]
-    flat = cut.select(*every, "elements", F.explode("_chunks").alias("c")).select(*every, "c.n", title.alias("title"), "c.part")
+    # an outer explode: the plain one would infer a filter that repeats the whole fold below it
+    flat = cut.select(*every, "elements", F.explode_outer("_chunks").alias("c")).where("c IS NOT NULL").select(*every, "c.n", title.alias("title"), "c.part")
     texts, marks = (F.array_join(F.filter(F.transform("part", lambda x: x[f]), lambda x: x != ""), sep) for f, sep in (("text", "\n"), ("markdown", "\n\n")))
     table = F.col("part")[0]["type"] == "table"
     flat = flat.select(

@@ -55,22 +55,26 @@ def near_duplicates(rows: DataFrame, least: float = 0.92) -> DataFrame:
     """doc_id, near_chars: half the shorter of each pair of unequal blocks with similarity ``least`` or more.
 
     Such pairs are equal without spaces, or share nearly all tokens of the earlier block ``a``: so any
-    floor((1 - least) * tokens) + 1 tokens of ``a`` hold one that ``b`` has. Pairs come from joins
-    on the document and those tokens, never from all pairs.
+    floor((1 - least) * tokens) + 1 distinct tokens of ``a`` hold one that ``b`` has, and ``b`` has nearly as
+    many distinct tokens. Candidates come from joins of narrow rows on the document and those
+    tokens, never from all pairs; the blocks' tokens are joined back for what is left.
     """
     every = rows.withColumn("an", T.normalize_similarity(F.col("block"))).where("an != ''")
-    every = every.select("doc_id", "pos", "block", F.replace("an", F.lit(" "), F.lit("")).alias("ac"), F.split("an", " ").alias("ts"))
-    left = every.select("doc_id", *(F.col(c).alias("a_" + c) for c in ("pos", "block", "ac", "ts")))
-    right = every.select("doc_id", *(F.col(c).alias("b_" + c) for c in ("pos", "block", "ac", "ts")))
-    later = F.expr("a_pos < b_pos AND a_block != b_block")
-    same = left.join(right, (left["doc_id"] == right["doc_id"]) & (F.col("a_ac") == F.col("b_ac")) & later).select(left["doc_id"], "a_pos", "b_pos", F.length("a_block").alias("x"), F.length("b_block").alias("y"))
+    every = every.select("doc_id", "pos", "block", F.replace("an", F.lit(" "), F.lit("")).alias("ac"), F.split("an", " ").alias("ts")).withColumn("ds", F.array_distinct("ts"))
     # the longest tokens of a block are its rarest, roughly
-    probe = F.expr(f"slice(array_sort(array_distinct(a_ts), (p, q) -> int(sign(length(q) - length(p)) * 2 + if(p < q, -1, 1))), 1, int(floor({1 - least:.4f} * size(a_ts))) + 1)")
-    probes = left.select("*", F.explode(probe).alias("t"))
-    tokens = right.select("*", F.explode(F.array_distinct("b_ts")).alias("t"))
-    near = F.expr(f"size(a_ts) >= {least} * size(b_ts) AND NOT (contains(a_ac, b_ac) OR contains(b_ac, a_ac)) AND size(filter(a_ts, t -> array_contains(b_ts, t))) / greatest(size(a_ts), size(b_ts)) >= {least}")
-    some = probes.join(tokens, (probes["doc_id"] == tokens["doc_id"]) & (probes["t"] == tokens["t"]) & later & near).select(probes["doc_id"], "a_pos", "b_pos", F.length("a_block").alias("x"), F.length("b_block").alias("y"))
-    pairs = same.unionByName(some).distinct()
+    longest = "array_sort(ds, (p, q) -> CASE WHEN length(p) > length(q) THEN -1 WHEN length(p) < length(q) THEN 1 WHEN p < q THEN -1 WHEN p > q THEN 1 ELSE 0 END)"
+    slack = f"int(floor({1 - least:.4f} * size(ts) + 1e-9))"
+    a = every.select("doc_id", F.col("pos").alias("a_pos"), F.expr("size(ts) AS na"), F.expr(f"size(ds) - {slack} AS need"), F.explode(F.expr(f"slice({longest}, 1, {slack} + 1)")).alias("t"))
+    b = every.select("doc_id", F.col("pos").alias("b_pos"), F.expr("size(ts) AS nb"), F.expr("size(ds) AS db"), F.explode("ds").alias("t"))
+    some = a.join(b, ["doc_id", "t"]).where(f"a_pos < b_pos AND na >= {least} * nb AND db >= need").select("doc_id", "a_pos", "b_pos").distinct()
+    left = every.select("doc_id", F.col("pos").alias("a_pos"), *(F.col(c).alias("a_" + c) for c in ("block", "ac", "ts")))
+    right = every.select("doc_id", F.col("pos").alias("b_pos"), *(F.col(c).alias("b_" + c) for c in ("block", "ac", "ts")))
+    near = f"a_ac != b_ac AND NOT (contains(a_ac, b_ac) OR contains(b_ac, a_ac)) AND size(filter(a_ts, t -> array_contains(b_ts, t))) / greatest(size(a_ts), size(b_ts)) >= {least}"
+    shared = some.join(left, ["doc_id", "a_pos"]).join(right, ["doc_id", "b_pos"]).where(near).where("a_block != b_block")
+    size = ("doc_id", F.length("a_block").alias("x"), F.length("b_block").alias("y"))
+    ha, hb = (t.withColumn("h", F.xxhash64(c)) for t, c in ((left.drop("a_ts"), "a_ac"), (right.drop("b_ts"), "b_ac")))
+    same = ha.join(hb, ["doc_id", "h"]).where("a_pos < b_pos AND a_ac = b_ac AND a_block != b_block")
+    pairs = same.select(*size).unionByName(shared.select(*size))
     sums = pairs.groupBy("doc_id").agg(F.sum(F.expr("least(x, y) div 2")).alias("near_chars"))
     return rows.select("doc_id").distinct().join(sums, "doc_id", "left").select("doc_id", F.coalesce("near_chars", F.lit(0)).alias("near_chars"))
 

@@ -47,7 +47,7 @@ def chunk_flags(spark, sf_dir):
 
 
 @query(
-    f"""{_CHUNKED} SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS documents, sum(strlen(text) // 4 + 1)::BIGINT AS tokens, max(strlen(text) // 4 + 1) AS most_tokens
+    f"""{_CHUNKED} SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS documents, sum(strlen(chunks.text) // 4 + 1)::BIGINT AS tokens, max(strlen(chunks.text) // 4 + 1) AS most_tokens
     FROM chunks JOIN documents USING (doc_id) GROUP BY lang"""
 )
 def chunk_stats_by_lang(spark, sf_dir):
