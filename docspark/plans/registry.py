@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core  # noqa: F401  (registers its queries)
+from . import core, domains  # noqa: F401  (they register their queries)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
