@@ -34,7 +34,8 @@ def lit(x) -> str:
         return str(x)
     if isinstance(x, (list, tuple)):
         return "concat_ws(chr(10), " + ", ".join(lit(i) for i in x) + ")"
-    assert "'" not in x and "\\" not in x, x
+    if "'" in x or "\\" in x:
+        raise ValueError("no quotes or backslashes in shared literals")
     return "'" + x.replace("\t", "' || chr(9) || '").replace("\f", "' || chr(12) || '").replace("\n", "' || chr(10) || '") + "'"
 
 
