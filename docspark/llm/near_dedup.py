@@ -3,14 +3,14 @@
 1. Each document becomes its set of distinct word shingles (64-bit hashes), a digest of that
    set and a SuperMinHash signature cut into bands. Documents of equal digests are one node,
    so that exact copies never meet each other again.
-2. A band value shared by several nodes makes them candidates. Nodes are compared with a hub
-   of their bucket, not with each other; what is confirmed joins one component. Buckets that
-   still hold several components go on with 8, 64, ... further hubs a round until every
-   pair of different components in each bucket has been compared, so that no candidate is lost.
-   Shingles that no other candidate has bound each intersection exactly: nodes that the bound
-   keeps from every partner leave their buckets, and pairs beyond it are never made.
-3. A comparison takes both documents' whole sets. Members of a hub with many candidates are
-   dealt over salted groups, each with its own copy of the hub.
+2. A band value shared by several nodes makes them candidates. Nodes are first compared with
+   one hub of their buckets; what is confirmed joins one component. In buckets that still hold
+   several components, all nodes outside the largest are gathered in blocks, and the buckets' nodes pass
+   by these, so that every pair of different components has been compared and none is lost,
+   while rows count nodes by blocks and not pairs. Shingles that no other candidate has bound each
+   intersection exactly: nodes that the bound keeps from every partner leave their buckets.
+3. A comparison takes both documents' whole sets. Members of a hub or block with many candidates
+   are dealt over salted groups, each with its own copy of the hub or block.
 4. Components come from repeated star contraction over tables in the shared folder.
 
 A pair at the threshold escapes all bands with a probability of at most ``miss``.
@@ -31,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import discard, materialize
 
@@ -180,6 +179,74 @@ def components(edges: DataFrame) -> DataFrame:
         e = nxt
 
 
+def block_links(able: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 200_000, group: int = 2000) -> DataFrame:
+    """Links (hub, node) that join the components which meet in buckets; ``able``: (key, node, n, root).
+
+    In each bucket the largest component stands against all nodes outside it. These are gathered
+    in blocks of about ``block`` shingles, and the nodes of the buckets that a block touches
+    pass by it once, dealt over groups of ``group``. Rows count nodes by blocks, never pairs; a block yields
+    only links that join what it hasn't joined yet.
+    """
+    largest = able.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
+    outside = able.join(largest, "key").where("root != main").select("key", "node", "n", "root", "main")
+    strays = outside.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("main").alias("anchor"))
+    blocks = strays.groupBy("anchor").agg(F.ceil(F.sum("n") / block).alias("blocks"))
+    strays = materialize(strays.join(blocks, "anchor").select("node", "root", "anchor", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part")))
+    touched = outside.select("key", "node").join(strays, "node").select("key", "anchor", "part").distinct()
+    passing = materialize(able.join(touched, "key").select("anchor", "part", "node", "root").distinct())
+    load = passing.groupBy("anchor", "part").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
+    dealt = passing.join(load, ["anchor", "part"]).select("anchor", "part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("salts")).cast("int").alias("salt"), "node", "root", F.lit(1).alias("member"))
+    held = strays.join(load, ["anchor", "part"]).select("anchor", "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "node", "root", F.lit(0).alias("member"))
+    place = ("anchor", "part", "salt")
+    rows = dealt.unionByName(held).join(texts, "node").repartition(*place).sortWithinPartitions(*place, "member")
+
+    def run(batches):
+        hashes, at, block_sets, lead = WordHashes(), None, None, {}
+
+        def find(x):
+            while lead.setdefault(x, x) != x:
+                lead[x] = x = lead[lead[x]]
+            return x
+
+        def ready():
+            """The block's shingles in order, whose they are, and its nodes' sizes."""
+            names, roots, sets = zip(*block_sets)
+            every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            order = np.argsort(every, kind="stable")
+            return names, roots, np.array([len(x) for x in sets]), every[order], owner[order]
+
+        index = None
+        for b in batches:
+            hub_out, node_out = [], []
+            for *where, member, node, root, data in zip(*(b.column(c).to_pylist() for c in (*place, "member", "node", "root", "data"))):
+                if where != at:
+                    at, block_sets, index = where, [], None
+                    lead.clear()
+                items = shingle_set(data, k, hashes)
+                if not member:
+                    block_sets.append((node, root, items))
+                    continue
+                if index is None:
+                    index = ready()
+                names, roots, sizes, every, owner = index
+                low, high = np.searchsorted(every, items, "left"), np.searchsorted(every, items, "right")
+                hit = high > low
+                if not hit.any():
+                    continue
+                low, high = low[hit], high[hit]
+                spans = np.repeat(high - np.cumsum(high - low), high - low) + np.arange((high - low).sum())
+                common = np.bincount(owner[spans], minlength=len(names))
+                for i in np.flatnonzero(100 * common >= percent * (sizes + len(items) - common)):
+                    x, y = find(roots[i]), find(root)
+                    if x != y:
+                        lead[max(x, y)] = min(x, y)
+                        hub_out.append(names[i])
+                        node_out.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(hub_out, pa.int64()), pa.array(node_out, pa.int64())], names=["hub", "node"])
+
+    return rows.mapInArrow(run, "hub long, node long")
+
+
 def own_shingles(texts: DataFrame, k: int) -> DataFrame:
     """(node, own): how many shingles of a node no other node of ``texts`` has; nodes without any are left out."""
 
@@ -226,26 +293,16 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: f
     hubs = as_hubs(active.groupBy("key").agg(F.min(F.struct(alone.alias("alone"), "node", "n", "common")).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", "h.*"), "alone")
     first = active.join(hubs, "key").where("node != hub").where(reach).groupBy("node").agg(F.min(F.struct("alone", "hub")).alias("h")).select("node", "h.hub")
     found = confirm(materialize(first.select("hub", "node")), texts, k, percent)
-    roots, rest, taken = None, active, 8
-    while True:
-        found = found.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        if roots is not None:
-            found = found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(found)
-        placed = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # components by bucket, and buckets where two or more could reach the smallest node there
-        parts = placed.groupBy("key", "root").agg(F.max("common").alias("common"), F.min("n").alias("n"))
-        several = parts.groupBy("key").agg(F.min("n").alias("least_n"), F.count("*").alias("c")).where("c > 1").select("key", "least_n")
-        reaches = f"100 * common >= {percent} * (n + least_n - common)"
-        mixed = parts.join(several, "key").where(reaches).groupBy("key").agg(F.first("least_n").alias("least_n"), F.count("*").alias("c")).where("c > 1").select("key", "least_n")
-        able = placed.join(mixed, "key").where(reaches).drop("least_n")
-        ranked = materialize(able.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(alone, "node"))))
-        if ranked.isEmpty():
-            break
-        hubs = as_hubs(ranked.where(F.col("rank") <= taken), F.col("root").alias("hub_root"), F.col("rank").alias("hub_rank"))
-        pairs = ranked.join(hubs, (ranked["key"] == hubs["key"]) & F.expr("rank > hub_rank AND root != hub_root") & F.expr(reach)).select("hub", "node").distinct()
-        found = confirm(materialize(pairs), texts, k, percent)
-        rest, taken = ranked.where(F.col("rank") > taken).select("key", "node", "n", "common"), taken * 8
+    roots = components(found.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    placed = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # components by bucket, and buckets where two or more could reach the smallest node there
+    parts = placed.groupBy("key", "root").agg(F.max("common").alias("common"), F.min("n").alias("n"))
+    several = parts.groupBy("key").agg(F.min("n").alias("least_n"), F.count("*").alias("c")).where("c > 1").select("key", "least_n")
+    reaches = f"100 * common >= {percent} * (n + least_n - common)"
+    mixed = parts.join(several, "key").where(reaches).groupBy("key").agg(F.first("least_n").alias("least_n"), F.count("*").alias("c")).where("c > 1").select("key", "least_n")
+    able = materialize(placed.join(mixed, "key").where(reaches).select("key", "node", "n", "root"))
+    more = block_links(able, texts, k, percent).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     placed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
