@@ -89,7 +89,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.scale * self.margin(*self.row(text)) + self.shift, -30, 30))))
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
+def label_model(votes: np.ndarray, prior: float, rounds: int = 15) -> np.ndarray:
     """Posterior of the toxic class from votes (1 fires, 0 doesn't; the last column is a vote for clean).
 
     Rates of firing on either class are estimated with a Beta prior, correlations from what the
@@ -97,24 +97,29 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray
     """
     n, k = votes.shape
     hits = votes[:, :-1].sum(axis=1)
-    post = np.where(hits >= 2, 0.95, np.where(hits == 1, 0.7, 0.02)) * 0.98
+    post = np.where(hits >= 2, 0.95, np.where(hits == 1, 0.7, 0.02))
     share = np.ones(k)
-    for _ in range(rounds):
-        on = (post @ votes + 1) / (post.sum() + 2)
-        off = ((1 - post) @ votes + 0.2) / ((1 - post).sum() + 2)
-        left = votes - post[:, None] * on - (1 - post)[:, None] * off
-        cov = left.T @ left / n
-        spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        rho = np.abs(cov / np.outer(spread, spread))
-        np.fill_diagonal(rho, 0)
-        share = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1))
-        # a voter speaks by firing; its silence says little and is left to the clean voter
-        odds = votes @ (share * np.log(on / off)) + np.log(prior / (1 - prior))
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - post).max() < 1e-4:
-            break
-        post = new
-    return new
+    # first as if voters were independent; then correlations, and on with shared weights
+    for correlated in (False, True):
+        if correlated:
+            left = votes - post[:, None] * on - (1 - post)[:, None] * off
+            cov = left.T @ left / n
+            spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+            rho = np.maximum(cov / np.outer(spread, spread), 0)
+            np.fill_diagonal(rho, 0)
+            share = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1))
+            share[-1] = 1.0  # the clean voter is what the others leave
+        for _ in range(rounds):
+            on = (post @ votes + 1) / (post.sum() + 2)
+            off = ((1 - post) @ votes + 0.2) / ((1 - post).sum() + 2)
+            # a voter speaks by firing; its silence says little and is left to the clean voter
+            odds = votes @ (share * np.log(on / off)) + np.log(prior / (1 - prior))
+            new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            done = np.abs(new - post).max() < 1e-4
+            post = new
+            if done:
+                break
+    return post
 
 
 def _train(model: Model, rows, target: np.ndarray, weight: np.ndarray, rounds: int = 300, decay: float = 1e-3) -> None:

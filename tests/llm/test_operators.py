@@ -483,3 +483,17 @@ def test_lengths_equal_the_library(spark):
     rows = awkward()
     got = token_counts.lengths(frame(spark, rows), "doc_id", "text").collect()
     assert all(r["n_tokens"] == len(encoding.encode_ordinary(r["text"] or "")) for r in got)
+
+
+def test_label_model_with_many_correlated_voters():
+    rng = np.random.default_rng(5)
+    n, y = 600, np.arange(600) % 3 == 0
+    family = rng.integers(0, 3, n)
+    votes = np.zeros((n, 92))
+    for f in range(3):  # 30 voters of one family fire together on its toxic rows
+        rows = y & (family == f)
+        votes[np.ix_(rows, range(30 * f, 30 * f + 30))] = rng.random((rows.sum(), 30)) < 0.7
+    votes[rng.random((n, 92)) < 0.003] = 1
+    votes[:, -1] = votes[:, :-1].sum(axis=1) == 0
+    post = toxicity.label_model(votes, 1 / 3)
+    assert ((post > 0.5) == y).mean() > 0.97 and post[y].mean() > 0.9 and post[~y].mean() < 0.2
