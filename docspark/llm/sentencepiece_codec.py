@@ -70,7 +70,7 @@ class Codec:
     """Encoder and decoder of one model."""
 
     #: Words whose ids are remembered.
-    most_words = 400_000
+    most_words = 700_000
     most_pairs = 2_000_000
 
     def __init__(self, model: bytes):
@@ -109,7 +109,8 @@ class Codec:
         self.longest = max(map(len, self.ids))
         back = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.raw = [back.get(i, b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode()) for i, (p, k) in enumerate(zip(self.text_of, kinds))]
-        known = "".join(re.escape(p) for p in self.ids if len(p) == 1 and p != MARK)
+        self.known = frozenset(p for p in self.ids if len(p) == 1)
+        known = "".join(re.escape(p) for p in self.known if p != MARK)
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             unit = f"[{known}{MARK}]+"
         else:
@@ -148,16 +149,17 @@ class Codec:
         return known
 
     def last_piece(self, unit: str, end: int, states: list[int]) -> int:
-        get, stable = self.ids.get, self.pairs.get
-        for start in range(max(0, end - self.longest), end):
+        get, pairs = self.ids.get, self.pairs.get
+        # short pieces are the likelier ones; only one fits, so the order doesn't matter otherwise
+        for start in range(end - 1, max(-1, end - self.longest - 1), -1):
             piece = get(unit[start:end])
             if piece is None:
                 continue
             if start:
-                ok = stable((states[start], piece))
+                # a pair that merging leaves as it is has two pieces that merging makes
+                ok = pairs((states[start], piece))
                 if ok or ok is None and self.stable(states[start], piece):
-                    if self.whole(piece):
-                        return piece
+                    return piece
             elif self.whole(piece):
                 return piece
         raise AssertionError("every prefix has an encoding")
@@ -200,8 +202,8 @@ class Codec:
 
     def _learn(self, keys: set[str]) -> None:
         """Encode marked words; what lies between characters that the model lacks is a unit."""
-        split = {k: self.units(k) for k in keys}
-        known = self.ids
+        whole, known = self.known.issuperset, self.ids
+        split = {k: (k,) if whole(k) else self.units(k) for k in keys}
         units = {u for parts in split.values() for u in parts if len(u) > 1 or u in known}
         ids = self.encode_units(units)
         for k, parts in split.items():
