@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: One character of Unicode white space; valid in Java and RE2 alike.
 SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same characters one after the other, for the trim functions, which need no pattern.
+SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CYRILLIC = r"[\x{0400}-\x{052F}]"
 AZ, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that canonical text replaces, and by what.
@@ -17,15 +19,15 @@ QUOTES_DASHES, PLAIN = "«»„“”’‘—–−", "\"\"\"\"\"''---"
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(x, F.lit(SPACES))
 
 
 def trim_end(x: Column) -> Column:
-    return F.regexp_replace(x, f"{SPACE}+$", "")
+    return F.rtrim(x, F.lit(SPACES))
 
 
 def is_blank(x: Column) -> Column:
-    return ~x.rlike(f"[^{SPACE[1:]}")
+    return F.ltrim(x, F.lit(SPACES)) == ""
 
 
 def ascii_lower(x: Column) -> Column:

@@ -10,37 +10,41 @@ from ..functions import text as T
 ELEMENT = "array<struct<pos:int,type:string,text:string,markdown:string>>"
 
 
-def line_type(line: Column) -> Column:
-    """heading, list_item, code or paragraph of a line without trailing white space; the first that fits."""
-    bare = T.trim(line)
+def _type(line: Column, bare: Column) -> Column:
     shout = (F.octet_length(bare) <= 80) & bare.rlike(r"\p{Lu}") & ~bare.rlike(r"\p{Ll}")
     return (
         F.when(F.startswith(bare, F.lit("#")) | shout, "heading")
-        .when(line.rlike(f"^{T.SPACE}*([-*] |[0-9]+[.)])"), "list_item")
-        .when(line.rlike("^    |[{};]"), "code")
+        .when(bare.rlike("^([-*] |[0-9]+[.)])"), "list_item")
+        .when(F.startswith(line, F.lit("    ")) | F.contains(line, F.lit("{")) | F.contains(line, F.lit("}")) | F.contains(line, F.lit(";")), "code")
         .otherwise("paragraph")
     )
 
 
-def line_markdown(kind: Column, line: Column) -> Column:
+def line_type(line: Column) -> Column:
+    """heading, list_item, code or paragraph of a line without trailing white space; the first that fits."""
+    return _type(line, T.trim(line))
+
+
+def _markdown(kind: Column, line: Column, bare: Column) -> Column:
     return (
-        F.when(kind == "heading", F.concat(F.lit("# "), T.trim(line)))
-        .when(kind == "list_item", F.concat(F.lit("- "), T.trim(F.regexp_replace(line, "^[-* ]+", ""))))
+        F.when(kind == "heading", F.concat(F.lit("# "), bare))
+        .when(kind == "list_item", F.concat(F.lit("- "), T.trim(F.ltrim(line, F.lit("-* ")))))
         .when(kind == "code", F.concat(F.lit("```\n"), line, F.lit("\n```")))
         .otherwise(line)
     )
 
 
 def elements_in_row(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``elements``: its non-blank lines, classified; no explode, no shuffle."""
-    numbered = F.transform(T.lines(T.normalize_newlines(F.col(text))), lambda x, i: F.struct(i.cast("int").alias("pos"), T.trim_end(x).alias("line")))
-    kept = docs.withColumn("_lines", F.filter(numbered, lambda x: x["line"] != ""))
-
-    def described(x):
-        kind = line_type(x["line"])
-        return F.struct(x["pos"].alias("pos"), kind.alias("type"), x["line"].alias("text"), line_markdown(kind, x["line"]).alias("markdown"))
+    """``docs`` with ``elements``: its non-blank lines, classified; no explode, no shuffle.
 
-    return kept.withColumn("elements", F.transform("_lines", described)).drop("_lines")
+    Each step is a pass of its own, because a lambda computes an expression anew wherever it is used.
+    """
+    rows = F.transform(T.lines(T.normalize_newlines(F.col(text))), lambda x, i: F.struct(i.cast("int").alias("pos"), T.trim_end(x).alias("line")))
+    rows = F.filter(rows, lambda e: e["line"] != "")
+    rows = F.transform(rows, lambda e: F.struct(e["pos"].alias("pos"), e["line"].alias("line"), T.trim(e["line"]).alias("bare")))
+    rows = F.transform(rows, lambda e: F.struct(e["pos"].alias("pos"), e["line"].alias("line"), e["bare"].alias("bare"), _type(e["line"], e["bare"]).alias("type")))
+    rows = F.transform(rows, lambda e: F.struct(e["pos"].alias("pos"), e["type"].alias("type"), e["line"].alias("text"), _markdown(e["type"], e["line"], e["bare"]).alias("markdown")))
+    return docs.withColumn("elements", rows)
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -51,6 +55,5 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def elements(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, pos, type, text, markdown, a row per non-blank line; narrow."""
-    kind = line_type(F.col("line"))
-    rows = lines(docs, text).withColumn("type", kind)
-    return rows.select("doc_id", "pos", "type", F.col("line").alias("text"), line_markdown(F.col("type"), F.col("line")).alias("markdown"))
+    rows = lines(docs, text).withColumn("bare", T.trim(F.col("line"))).withColumn("type", _type(F.col("line"), F.col("bare")))
+    return rows.select("doc_id", "pos", "type", F.col("line").alias("text"), _markdown(F.col("type"), F.col("line"), F.col("bare")).alias("markdown"))
