@@ -101,15 +101,29 @@ def heading_hint(rows: DataFrame) -> DataFrame:
     return rows.withColumn("is_heading", (F.col("font_size") >= 1.2 * median) & (F.length("text") <= 120) & (F.col("bold") | (F.col("y0") <= 180)))
 
 
-def heuristic_region(kind: Column, role: Column, y0: Column, y1: Column, height: Column) -> Column:
-    """Type of the layout region that an element makes."""
-    return (
-        F.when(role == "watermark", "watermark")
-        .when(y1 <= height * 0.08, "header")
-        .when(y0 >= height * 0.92, "footer")
-        .when(kind == "table", "table")
-        .when(kind == "formula", "formula")
-        .when(kind.isin("image", "chart"), "figure")
-        .when(kind == "heading", "title")
-        .otherwise("text")
-    )
+# The region that an element of a type makes.
+REGIONS = {"heading": "title", "list": "list", "list_item": "list", "table": "table", "image": "figure", "page_image": "figure", "chart": "figure", "formula": "formula", "code": "code"}
+
+
+def heuristic_region(kind: Column, role: Column, y0: Column, y1: Column, height: float = 1400.0) -> Column:
+    """Type of the layout region that an element makes; text at the top or bottom is a header or footer."""
+    base = F.coalesce(F.create_map(*(F.lit(x) for pair in REGIONS.items() for x in pair))[kind], F.lit("text"))
+    edge = F.when((base == "text") & (y0 <= height * 0.08), "header").when((base == "text") & (y1 >= height * 0.92), "footer").otherwise(base)
+    return F.when(F.contains(F.coalesce(role, F.lit("")), F.lit("watermark")), "watermark").otherwise(edge)
+
+
+# The element, role and text that stand in for a detected region.
+PLACEHOLDERS = {
+    "table": ("table", "layout_table_placeholder", "[Обнаружена область таблицы макета]"),
+    "formula": ("formula", "layout_formula_placeholder", "[Обнаружена область формулы макета]"),
+    "figure": ("image", "layout_figure_placeholder", "[Обнаружена область изображения/фигуры]"),
+    "watermark": ("watermark", "layout_watermark", "[Обнаружен возможный watermark]"),
+}
+
+
+def placeholders(regions: DataFrame) -> DataFrame:
+    """Elements for regions (doc_id, page_number, region_id, region_type, box) of the types that get one."""
+    table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.struct(*(F.lit(v).alias(n) for v, n in zip(x, ("type", "role", "text")))) for pair in PLACEHOLDERS.items() for x in pair))
+    made = regions.withColumn("_p", table[F.col("region_type")]).where("_p IS NOT NULL")
+    ident = F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("_layout_"), "region_id")
+    return made.select(*PAGE, ident.alias("element_id"), "_p.type", "_p.role", "_p.text", F.col("_p.text").alias("markdown"), "x0", "y0", "x1", "y1")
