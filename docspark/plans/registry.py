@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, domains, layouts, structures  # noqa: F401  (they register their queries)
+from . import core, domains, layouts, small, structures  # noqa: F401  (they register their queries)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

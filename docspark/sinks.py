@@ -67,3 +67,17 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, order: str) -> Data
     from .operators.metrics import latest
 
     return latest(current.unionByName(changes), key, order)
+
+
+def read_model_files(spark, path: str, schema: str) -> DataFrame:
+    """Models from JSON files of one document each."""
+    return spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+
+
+def write_layout_debug(regions: DataFrame, elements: DataFrame, path: str) -> None:
+    """Regions and order of elements, one JSON row per page; pages without regions have an empty list."""
+    page = ("doc_id", "page_number")
+    rows = lambda df, name, *cols: df.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    found = rows(elements, "elements", "reading_order", "element_id", "type").join(rows(regions, "regions", "region_id", "region_type"), list(page), "left")
+    empty = F.array().cast("array<struct<region_id:string,region_type:string>>")
+    found.withColumn("regions", F.coalesce("regions", empty)).write.mode("overwrite").json(path)
