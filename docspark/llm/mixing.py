@@ -75,7 +75,8 @@ def plan(rows: DataFrame, weights=WEIGHTS, most: int = MOST, blocks: int = BLOCK
     classes = materialize(rows.groupBy("source", "_class").agg(F.count("*").alias("_n"), F.sum("size").alias("_s")))
     sizes = targets(classes.groupBy("source").agg(F.sum("_s").alias("source_size")), weights, most)
     # one row per source and class of about 200; each is cut into blocks by its share of all rows
-    spread = classes.crossJoin(F.broadcast(classes.agg(F.sum("_n").alias("_all")))).select("source", "_class", F.ceil(F.col("_n") * blocks / F.col("_all")).alias("_cuts"))
+    every = classes.agg(F.sum("_n")).first()[0] or 1
+    spread = classes.select("source", "_class", F.ceil(F.col("_n") * blocks / F.lit(every)).alias("_cuts"))
     spread = spread.withColumnRenamed("source", "_source").withColumnRenamed("_class", "_cls")
     block = F.pmod(_number(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("_cuts"))
     cut = rows.join(spread, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_cls")), "left").withColumn("_block", block).drop("_source", "_cls", "_cuts")

@@ -79,10 +79,9 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 def tokens_within(sums: DataFrame, limit: int) -> DataFrame:
     """Tokens left when documents are cut to ``limit``, which need not be a length that occurs."""
-    above = sums.where(F.col("n_tokens") >= limit)
-    at = above.agg(F.max("docs_from").alias("d"), F.max("tokens_from").alias("t"))
-    total = sums.agg(F.max("tokens_all").alias("all"))
-    return at.crossJoin(F.broadcast(total)).select((F.coalesce("all", F.lit(0)) - F.coalesce("t", F.lit(0)) + F.coalesce("d", F.lit(0)) * limit).alias("tokens"))
+    above = F.col("n_tokens") >= limit
+    most = lambda c, test=True: F.coalesce(F.max(F.when(F.lit(test) if test is True else test, F.col(c))), F.lit(0))
+    return sums.agg((most("tokens_all") - most("tokens_from", above) + most("docs_from", above) * limit).alias("tokens"))
 
 
 def report(docs: DataFrame, **tokenizer) -> DataFrame:
