@@ -49,7 +49,7 @@ class Config:
     prefer_native_text: bool = True
     max_rows_per_table: int = 200
     table_chunk_rows: int = 20
-    docx_lines_per_page: int = 45
+    docx_lines_per_page: int = 80
     reading_order: str = "layout"
     column_gap: float = 0.08
     exclude_headers_from_chunks: bool = True

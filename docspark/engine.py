@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from . import backends, sinks
 from .config import Config
 from .functions import text as T
-from .operators import chunking, domain, language, legal, ocr, quality, tables, validation
+from .operators import chunking, domain, language, legal, ocr, paging, quality, tables, validation
 from .sources import convert, files, html, image, markdown, ooxml, pdf, txt
 
-ELEMENT = ("doc_id", "page_number", "pos", "type", "tag", "role", "text", "markdown", "confidence", "asset_id", "warning")
+ELEMENT = ("doc_id", "page_number", "pos", "type", "tag", "role", "text", "markdown", "confidence", "asset_id", "warning", "chunk_text")
 
 
 @dataclass
@@ -43,7 +43,7 @@ def _shape(df: DataFrame, **given) -> DataFrame:
 
 def _tables_first(found: DataFrame, grid: str, role: str = "data_table") -> DataFrame:
     t = found.where(F.col(grid).isNotNull())
-    return _shape(t.select("doc_id", F.lit(-1).alias("pos"), F.lit("table").alias("type"), tables.plain(F.col(grid)).alias("text"), tables.markdown(F.col(grid)).alias("markdown"), F.lit(role).alias("role")), page_number=F.lit(1))
+    return _shape(t.select("doc_id", F.lit(-1).alias("pos"), F.lit("table").alias("type"), tables.plain(F.col(grid)).alias("text"), tables.markdown(F.col(grid)).alias("markdown"), F.lit(role).alias("role"), tables.linearized(F.col(grid)).alias("chunk_text")), page_number=F.lit(1))
 
 
 def read_texts(docs: DataFrame) -> DataFrame:
@@ -67,17 +67,22 @@ def read_files(probed: DataFrame, config: Config = Config()) -> DataFrame:
     lines = ocr.split_low_confidence(lines, config.min_text_confidence, config.drop_low_confidence)[0]
     converted = convert.run(of("doc", "rtf").select("doc_id", "format", "content"))
     office = ooxml.elements(of("docx", "xlsx", "pptx").select("doc_id", "format", "content").unionByName(converted.where("status = 'ok' AND format = 'docx'").select("doc_id", "format", "content")))
+    # DOCX has no pages of its own
+    office = office.where("page_name IS NOT NULL OR role LIKE 'slide%' OR role = 'speaker_notes' OR type = 'error'").unionByName(
+        paging.with_pages(office.where("page_name IS NULL AND coalesce(role, '') NOT LIKE 'slide%' AND coalesce(role, '') != 'speaker_notes' AND type != 'error'"), config.docx_lines_per_page)
+    )
+    cell_text = F.when(F.size("cells") > 0, tables.linearized(tables.grid_of(F.col("cells"))))
     failed = converted.where("status != 'ok'").select("doc_id", F.lit("error").alias("type"), F.lit(0).alias("pos"), F.concat_ws("; ", "diagnostics").alias("warning"))
     parts = [
         read_texts(plain),
         _tables_first(tables.detect(marked), "pipe_table"),
         _shape(md.withColumn("pos", F.col("order")).withColumn("role", F.col("type")), page_number=F.lit(1)),
         _shape(formulas, page_number=F.lit(1), role=F.lit("math_formula")),
-        _shape(pages.withColumn("pos", F.col("order")), page_number=F.lit(1)),
+        _shape(pages.withColumn("pos", F.col("order")).withColumn("chunk_text", cell_text), page_number=F.lit(1)),
         _shape(pdf.blocks(pdfs), confidence=F.lit(0.95), tag=F.lit("pdf_text")),
         _shape(scans),
         _shape(lines.withColumn("pos", F.col("pos") + 1)),
-        _shape(office.withColumnRenamed("asset", "asset_id")),
+        _shape(office.withColumnRenamed("asset", "asset_id").withColumn("chunk_text", cell_text)),
         _shape(failed, page_number=F.lit(1)),
     ]
     out = parts[0]
@@ -95,7 +100,7 @@ def build(documents: DataFrame, elements: DataFrame, config: Config = Config())
     pages = pages.select("doc_id", "page_number", joined("text", "\n").alias("text"), joined("markdown", "\n\n").alias("markdown"))
     pages = language.detect(pages, default=config.default_language, min_chars=config.language_min_chars).drop("detected", "confidence", "is_mixed")
     held = content.where(~F.col("type").isin("header", "footer")) if config.exclude_headers_from_chunks else content
-    flat = held.select("doc_id", (F.col("page_number").cast("long") * 10_000_000 + F.col("pos")).alias("pos"), "type", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("markdown", "text", F.lit("")).alias("markdown"))
+    flat = held.select("doc_id", (F.col("page_number").cast("long") * 10_000_000 + F.col("pos")).alias("pos"), "type", F.coalesce("chunk_text", "text", F.lit("")).alias("text"), F.coalesce("markdown", "text", F.lit("")).alias("markdown"))
     chunks = chunking.flags(chunking.chunk(chunking.gather(flat), config.max_tokens))
     numbered = content.withColumns({
         "element_id": F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("_e"), F.col("pos").cast("string")),

@@ -20,10 +20,17 @@ _FOLD = """aggregate(elements, named_struct('used', 0, 'page', 1, 'held', 0, 'ou
   s -> s.out)"""
 
 
-def paginate(rows: DataFrame, line_limit: int) -> DataFrame:
+def paginate(rows: DataFrame, line_limit: int = 80) -> DataFrame:
     """``rows`` (doc_id, elements with ``need`` lines each) with ``pages``: the page of each element; a fold within the row."""
-    limit = max(20, min(line_limit, 80)) if line_limit < 20 else line_limit
-    return rows.withColumn("pages", F.expr(_FOLD.format(limit=int(limit))))
+    return rows.withColumn("pages", F.expr(_FOLD.format(limit=max(20, int(line_limit)))))
+
+
+def with_pages(elements: DataFrame, line_limit: int = 80) -> DataFrame:
+    """``elements`` (doc_id, pos, text, ...) with synthetic page numbers; the fold gets positions and line counts only."""
+    need = F.struct("pos", estimated_lines(F.coalesce("text", F.lit(""))).alias("need"))
+    folded = paginate(elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(need)).alias("elements")), line_limit)
+    placed = folded.select("doc_id", F.explode_outer(F.arrays_zip(F.col("elements.pos").alias("pos"), F.col("pages").alias("page"))).alias("z")).select("doc_id", "z.pos", F.col("z.page").alias("_page"))
+    return elements.drop("page_number").join(placed, ["doc_id", "pos"]).withColumnRenamed("_page", "page_number")
 
 
 def islands(rows: DataFrame, key: Column, *by: str, order: str = "pos") -> DataFrame:

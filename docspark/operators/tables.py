@@ -95,6 +95,21 @@ def cells(grids: DataFrame, grid: str = "grid") -> DataFrame:
     return rows.select(*keep, "row", F.posexplode("_r").alias("column", "text")).withColumn("is_header", F.col("row") == 0)
 
 
+def grid_of(cells: Column) -> Column:
+    """Grid of an array of cells (row, column, text); the first of cells at one place, holes are empty, null without cells."""
+    place = lambda r, c: r * 100_000 + c
+    keys = F.array_distinct(F.transform(cells, lambda x: place(x["row"], x["column"])))
+    texts = F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("k"), F.get(F.filter(cells, lambda x: place(x["row"], x["column"]) == k), F.lit(0))["text"].alias("v"))))
+    last = lambda name: F.array_max(F.transform(cells, lambda x: x[name]))
+    rows = lambda m: F.transform(F.sequence(F.lit(0), last("row")), lambda r: F.transform(F.sequence(F.lit(0), last("column")), lambda c: F.coalesce(F.try_element_at(m, place(r, c)), F.lit(""))))
+    return F.when(F.size(cells) > 0, _bound(texts, rows))
+
+
+def linearized(grid: Column, most: int = 20) -> Column:
+    """A table's text for chunks: its linearized pieces, a line each row."""
+    return F.array_join(F.transform(linearize(grid, most), lambda p: p["text"]), "\n")
+
+
 def linearize(grid: Column, most: int = 20) -> Column:
     """array of (row_start, row_end, text): up to ``most`` rows each, every value with its header."""
     head = grid[0]

@@ -90,6 +90,15 @@ def test_pipe_and_tab_tables(spark):
     assert [(x["row_start"], x["row_end"]) for x in one["l"]] == [(1, 2), (3, 3)] and one["l"][0]["text"].startswith("Строка 2: A = 1; B, c = <2>;  = .")
 
 
+def test_cells_to_grid_and_pages(spark):
+    cells = spark.sql("SELECT array(named_struct('row', 0, 'column', 0, 'text', 'H'), named_struct('row', 0, 'column', 1, 'text', 'K'), named_struct('row', 1, 'column', 1, 'text', 'v'), named_struct('row', 1, 'column', 1, 'text', 'w')) AS c")
+    got = cells.select(tables.grid_of(F.col("c")).alias("g"), tables.linearized(tables.grid_of(F.col("c"))).alias("l")).first()
+    assert got["g"] == [["H", "K"], ["", "v"]] and got["l"] == "Строка 2: H = ; K = v."
+    rows = spark.createDataFrame([(1, i, "x" * 800) for i in range(5)] + [(2, 0, None)], "doc_id int, pos int, text string")
+    placed = {(r["doc_id"], r["pos"]): r["page_number"] for r in paging.with_pages(rows, 25).collect()}
+    assert placed == {(1, 0): 1, (1, 1): 1, (1, 2): 2, (1, 3): 2, (1, 4): 3, (2, 0): 1}
+
+
 def test_markdown(spark):
     docs = spark.createDataFrame([(1, "# T\n```\na\n```\n> q\n- i\n$$\nx^2\n$$\n\\[ y \\]\n```\nopen")], "doc_id long, text string")
     got = [(r["type"], r["text"]) for r in markdown.elements(docs).orderBy("order").collect()]

@@ -33,6 +33,7 @@ def test_files_become_models(spark, tmp_path):
     for r in corpus.chunks.orderBy("n").collect():
         chunks.setdefault(names[r["doc_id"]], []).append(r["chunk_id"])
     assert chunks["a.txt"][0] == "chunk_table_1"
+    assert any(r["text"] == "Строка 2: a = 1; b = 2." for r in corpus.chunks.collect())
     assert {names[r["doc_id"]] for r in engine.enrich_legal(corpus).collect()} == {"b.md"}
     engine.write(corpus, str(tmp_path / "out"))
     texts = spark.read.parquet(str(tmp_path / "out" / "plain_text")).collect()
