@@ -179,10 +179,10 @@ def components(edges: DataFrame) -> DataFrame:
         e = nxt
 
 
-def block_links(able: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 200_000, group: int = 2000) -> DataFrame:
+def block_links(able: DataFrame, texts: DataFrame, k: int, percent: int, keep, block: int = 200_000, group: int = 2000) -> DataFrame:
     """Links (hub, node) that join the components which meet in buckets; ``able``: (key, node, n, root).
 
-    In each bucket the largest component stands against all nodes outside it. These are gathered
+    ``keep`` writes a table that the caller deletes later. In each bucket the largest component stands against all nodes outside it. These are gathered
     in blocks of about ``block`` shingles, and the nodes of the buckets that a block touches
     pass by it once, dealt over groups of ``group``. Rows count nodes by blocks, never pairs; a block yields
     only links that join what it hasn't joined yet.
@@ -191,9 +191,9 @@ def block_links(able: DataFrame, texts: DataFrame, k: int, percent: int, block:
     outside = able.join(largest, "key").where("root != main").select("key", "node", "n", "root", "main")
     strays = outside.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("main").alias("anchor"))
     blocks = strays.groupBy("anchor").agg(F.ceil(F.sum("n") / block).alias("blocks"))
-    strays = materialize(strays.join(blocks, "anchor").select("node", "root", "anchor", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part")))
+    strays = keep(strays.join(blocks, "anchor").select("node", "root", "anchor", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part")))
     touched = outside.select("key", "node").join(strays, "node").select("key", "anchor", "part").distinct()
-    passing = materialize(able.join(touched, "key").select("anchor", "part", "node", "root").distinct())
+    passing = keep(able.join(touched, "key").select("anchor", "part", "node", "root").distinct())
     load = passing.groupBy("anchor", "part").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
     dealt = passing.join(load, ["anchor", "part"]).select("anchor", "part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("salts")).cast("int").alias("salt"), "node", "root", F.lit(1).alias("member"))
     held = strays.join(load, ["anchor", "part"]).select("anchor", "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "node", "root", F.lit(0).alias("member"))
@@ -267,18 +267,24 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: f
     sketch = materialize(_sketch(docs, k, bands, rows))
     nodes = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.min_by("keys", "doc_id").alias("keys"))
     nodes = materialize(nodes)
+    made = []
+
+    def keep(df):
+        made.append(materialize(df))
+        return made[-1]
+
     member = nodes.select(F.explode("keys").alias("key"), "node", "n")
     crowded = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    active = materialize(member.join(crowded, "key"))
+    active = keep(member.join(crowded, "key"))
     # texts of nodes in shared buckets, which all comparisons read
     candidates = active.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("data")).join(candidates, "node", "left_semi")
-    texts = materialize(texts)
+    texts = keep(texts)
     # shingles that no other candidate has lie in no intersection: two nodes share at most ``common``
     own = own_shingles(texts, k)
     shared = active.select("node", "n").distinct().join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
-    shared = materialize(shared.where(f"100 * common >= {percent} * n"))
-    active = materialize(active.select("key", "node").join(shared, "node"))
+    shared = keep(shared.where(f"100 * common >= {percent} * n"))
+    active = keep(active.select("key", "node").join(shared, "node"))
 
     def possible(n, common, hub_n, hub_common):
         return f"100 * least({common}, {hub_common}) >= {percent} * ({n} + {hub_n} - least({common}, {hub_common}))"
@@ -292,7 +298,7 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: f
     alone = (F.col("n") - F.col("common")) / F.col("n")
     hubs = as_hubs(active.groupBy("key").agg(F.min(F.struct(alone.alias("alone"), "node", "n", "common")).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", "h.*"), "alone")
     first = active.join(hubs, "key").where("node != hub").where(reach).groupBy("node").agg(F.min(F.struct("alone", "hub")).alias("h")).select("node", "h.hub")
-    found = confirm(materialize(first.select("hub", "node")), texts, k, percent)
+    found = confirm(keep(first.select("hub", "node")), texts, k, percent)
     roots = components(found.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     placed = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # components by bucket, and buckets where two or more could reach the smallest node there
@@ -300,9 +306,12 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: f
     several = parts.groupBy("key").agg(F.min("n").alias("least_n"), F.count("*").alias("c")).where("c > 1").select("key", "least_n")
     reaches = f"100 * common >= {percent} * (n + least_n - common)"
     mixed = parts.join(several, "key").where(reaches).groupBy("key").agg(F.first("least_n").alias("least_n"), F.count("*").alias("c")).where("c > 1").select("key", "least_n")
-    able = materialize(placed.join(mixed, "key").where(reaches).select("key", "node", "n", "root"))
-    more = block_links(able, texts, k, percent).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    able = keep(placed.join(mixed, "key").where(reaches).select("key", "node", "n", "root"))
+    more = block_links(able, texts, k, percent, keep).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    made.append(roots)
     roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    for table in made:  # all but the sketch, its nodes and the roots
+        discard(table)
     placed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
