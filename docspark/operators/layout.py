@@ -83,16 +83,17 @@ def repeat_key(text: Column) -> Column:
 def headers_footers(elements: DataFrame, height: float = 1400.0) -> DataFrame:
     """(doc_id, page_number, pos, band): elements at the top or bottom whose text recurs on enough pages.
 
-    Counting is by (document, band, text) with partial sums; the join back is on the same key.
+    One pass and one shuffle by document: keys are made only for elements within the bands, and pages
+    are counted over the document and over (band, key) within it. A document's pages are limited in number.
     """
-    n = elements.groupBy("doc_id").agg(F.count_distinct("page_number").alias("pages"))
-    keyed = elements.withColumn("key", repeat_key(F.col("text"))).where("key != ''")
     bands = F.array_compact(F.array(F.when(F.col("y0") <= height * 0.12, "header"), F.when(F.col("y1") >= height * 0.88, "footer")))
-    rows = keyed.select(*PAGE, "pos", "key", F.explode(bands).alias("band"))
-    support = rows.groupBy("doc_id", "band", "key").agg(F.count_distinct("page_number").alias("on_pages")).join(n, "doc_id").where("pages >= 2")
+    rows = elements.select(*PAGE, "pos", bands.alias("bands"), F.when(F.size(bands) > 0, repeat_key(F.col("text"))).alias("key"))
+    pages = F.size(F.collect_set("page_number").over(W.partitionBy("doc_id")))
+    rows = rows.withColumn("pages", pages).where("key != '' AND pages >= 2").select(*PAGE, "pos", "key", "pages", F.explode("bands").alias("band"))
+    on_pages = F.size(F.collect_set("page_number").over(W.partitionBy("doc_id", "band", "key")))
     enough = F.col("on_pages") >= F.greatest(F.ceil(F.col("pages") * 0.5), F.lit(2))
     always = (F.col("band") == "footer") & T.is_page_number(F.col("key"))
-    return rows.join(support.where(enough | always).select("doc_id", "band", "key"), ["doc_id", "band", "key"], "left_semi").select(*PAGE, "pos", "band")
+    return rows.withColumn("on_pages", on_pages).where(enough | always).select(*PAGE, "pos", "band")
 
 
 def heading_hint(rows: DataFrame) -> DataFrame:

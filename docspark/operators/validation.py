@@ -35,26 +35,38 @@ def issues(documents: DataFrame, pages: DataFrame, elements: DataFrame, assets:
     blank = lambda c: F.col(c).isNull() | T.is_blank(F.col(c))
     repeats = lambda df, key: df.where(F.col(key).isNotNull()).groupBy("doc_id", key).count().where("count > 1").groupBy("doc_id").agg(F.sum(F.col("count") - 1).alias("n"))
     count = lambda df: df.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+    def counted(df, rules):
+        """Rules on single rows of one table: all counted in one pass."""
+        sums = df.groupBy("doc_id").agg(*(F.count_if(test).alias(code) for code, _, test in rules))
+        each = F.explode(F.array(*(F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(code).alias("n")) for code, severity, _ in rules)))
+        return sums.select("doc_id", each.alias("i")).where("i.n > 0").select("doc_id", "i.code", "i.severity", "i.n")
+
     one = lambda df: df.select("doc_id").distinct().withColumn("n", F.lit(1).cast("bigint"))
     actual = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
     miscounted = documents.join(actual, "doc_id", "left").where("page_count IS NOT NULL AND page_count != coalesce(pages, 0)")
     later = F.lag("reading_order").over(W.partitionBy("doc_id", "page_number").orderBy("pos"))
     disorder = elements.where("reading_order IS NOT NULL").withColumn("_before", later).where("reading_order < _before").select("doc_id", "page_number").distinct()
+    rows = [
+        counted(documents, [("DOCUMENT_ID_EMPTY", FATAL, blank("document_id")), ("SCHEMA_VERSION_EMPTY", FATAL, blank("schema_version")), ("DOCUMENT_LANGUAGE_EMPTY", WARNING, blank("language"))]),
+        counted(pages, [("PAGE_LANGUAGE_EMPTY", WARNING, blank("language"))]),
+        counted(
+            elements,
+            [
+                ("ELEMENT_MISSING_PROVENANCE", ERROR, F.col("provenance").isNull()),
+                ("ELEMENT_MISSING_CONFIDENCE", ERROR, F.col("confidence").isNull()),
+                ("TEXT_ELEMENT_CONTENT_EMPTY", ERROR, F.col("type").isin(*TEXT_TYPES) & blank("text")),
+            ],
+        ),
+    ]
     found = [
-        ("DOCUMENT_ID_EMPTY", FATAL, count(documents.where(blank("document_id")))),
-        ("SCHEMA_VERSION_EMPTY", FATAL, count(documents.where(blank("schema_version")))),
         ("PAGE_COUNT_MISMATCH", ERROR, count(miscounted)),
-        ("DOCUMENT_LANGUAGE_EMPTY", WARNING, count(documents.where(blank("language")))),
         ("DUPLICATE_ASSET_ID", ERROR, repeats(assets, "asset_id")),
-        ("PAGE_LANGUAGE_EMPTY", WARNING, count(pages.where(blank("language")))),
         ("DUPLICATE_ELEMENT_ID", ERROR, repeats(elements, "element_id")),
-        ("ELEMENT_MISSING_PROVENANCE", ERROR, count(elements.where("provenance IS NULL"))),
-        ("ELEMENT_MISSING_CONFIDENCE", ERROR, count(elements.where("confidence IS NULL"))),
-        ("TEXT_ELEMENT_CONTENT_EMPTY", ERROR, count(elements.where(F.col("type").isin(*TEXT_TYPES) & blank("text")))),
         ("GLOBAL_ORDER_DUPLICATE", ERROR, repeats(elements, "global_order")),
         ("ASSET_REFERENCE_NOT_FOUND", ERROR, count(dangling_assets(elements, assets))),
         ("READING_ORDER_INVALID", ERROR, count(disorder)),
         ("CHUNK_ELEMENT_REF_MISSING", ERROR, one(dangling_chunks(chunks, elements))),
     ]
     named = [df.select("doc_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), "n") for code, severity, df in found]
-    return reduce(DataFrame.unionByName, named)
+    return reduce(DataFrame.unionByName, rows + named)
