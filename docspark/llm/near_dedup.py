@@ -321,11 +321,11 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: f
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents with one of each group left, with their own columns; repeats of a kept row go too."""
     ident = docs["doc_id"].cast("long")
-    gone = group(docs, **how).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    again = docs.groupBy(ident.alias("_id")).count().where("count > 1 AND _id IS NOT NULL").select("_id")
-    marks = gone.withColumn("_gone", F.lit(True)).unionByName(again.join(gone, "_id", "left_anti").withColumn("_gone", F.lit(False)))
-    left = docs.join(marks, ident == F.col("_id"), "left")
-    once = left.where("_gone IS NULL").select(*(docs[c] for c in docs.columns))
+    gone = group(docs, **how).where("NOT kept").select(F.col("doc_id").alias("_keep_one_id")).distinct()
+    again = docs.groupBy(ident.alias("_keep_one_id")).count().where("count > 1 AND _keep_one_id IS NOT NULL").select("_keep_one_id")
+    marks = gone.withColumn("_keep_one_gone", F.lit(True)).unionByName(again.join(gone, "_keep_one_id", "left_anti").withColumn("_keep_one_gone", F.lit(False)))
+    left = docs.join(marks, ident == F.col("_keep_one_id"), "left")
+    once = left.where("_keep_one_gone IS NULL").select(*(docs[c] for c in docs.columns))
     # only rows whose doc_id recurs are dealt out by doc_id
-    repeated = left.where("NOT _gone").select(*(docs[c] for c in docs.columns)).dropDuplicates(["doc_id"])
+    repeated = left.where("NOT _keep_one_gone").select(*(docs[c] for c in docs.columns)).dropDuplicates(["doc_id"])
     return once.unionByName(repeated)

@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, copies int, score double, node long, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, copies int, score double, node long, key string, _id long, _gone boolean, _found string, _c1 int, kept string"
 
 
 def frame(spark, rows, schema=SCHEMA):
