@@ -166,7 +166,7 @@ class LineCrf:
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from=None, rows: int = 1200, max_chars: int = 20_000) -> LineCrf:
     """The field from at most ``rows`` labelled documents a class of up to ``max_chars`` characters."""
-    sample = [(r["text"], r["y"]) for r in labelled_sample(docs, labels, "quality", rows, max_chars, learn_from).toLocalIterator()]
+    sample = sorted((r["text"], r["y"]) for r in labelled_sample(docs, labels, "quality", rows, max_chars, learn_from).toLocalIterator())
     model = LineCrf()
     usable = labels.where(F.col("quality").isin(0, 1))
     share = (usable if learn_from is None else usable.where(learn_from)).agg(F.avg("quality")).first()[0]

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 import struct
-from itertools import chain
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -70,8 +70,8 @@ class Codec:
     """Encoder and decoder of one model."""
 
     #: Words whose ids are remembered.
-    most_words = 700_000
-    most_pairs = 2_000_000
+    most_words = 400_000
+    most_pairs = 600_000
 
     def __init__(self, model: bytes):
         self.kind, self.bytes_too, self.prefix, charsmap, squeeze = UNIGRAM, False, True, b"", True
@@ -116,8 +116,8 @@ class Codec:
         else:
             unit = f"{MARK}*[{known}]+|{MARK}+"
         self.units = re.compile(f"{unit}|(?s:.)").findall
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.words: dict[str, bytes] = {}  # 32-bit ids
+        self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[int]:
@@ -135,11 +135,12 @@ class Codec:
         return [self.ids[p] for p in parts]
 
     def stable(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        key = a << 24 | b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.text_of[a] + self.text_of[b]) == [a, b]
+            known = self.pairs[key] = self.merged(self.text_of[a] + self.text_of[b]) == [a, b]
         return known
 
     def whole(self, a: int) -> bool:
@@ -157,7 +158,7 @@ class Codec:
                 continue
             if start:
                 # a pair that merging leaves as it is has two pieces that merging makes
-                ok = pairs((states[start], piece))
+                ok = pairs(states[start] << 24 | piece)
                 if ok or ok is None and self.stable(states[start], piece):
                     return piece
             elif self.whole(piece):
@@ -173,7 +174,7 @@ class Codec:
         scores.append(best)
         return choice
 
-    def encode_units(self, units) -> dict[str, tuple[int, ...]]:
+    def encode_units(self, units) -> dict[str, bytes]:
         """Ids of each distinct unit of known characters."""
         out, before, states, scores = {}, "", [-1], [0.0]
         for unit in sorted(units):
@@ -193,12 +194,13 @@ class Codec:
             while end:
                 ids.append(states[end])
                 end -= self.size[states[end]]
-            out[unit] = tuple(reversed(ids))
+            ids.reverse()
+            out[unit] = array("i", ids).tobytes()
             before = unit
         return out
 
-    def _other(self, char: str) -> tuple[int, ...]:
-        return tuple(self.byte_ids[b] for b in char.encode()) if self.bytes_too else (self.unknown,)
+    def _other(self, char: str) -> bytes:
+        return array("i", [self.byte_ids[b] for b in char.encode()] if self.bytes_too else [self.unknown]).tobytes()
 
     def _learn(self, keys: set[str]) -> None:
         """Encode marked words; what lies between characters that the model lacks is a unit."""
@@ -210,7 +212,7 @@ class Codec:
             if len(parts) == 1 and parts[0] in ids:
                 self.words[k] = ids[parts[0]]
             else:
-                self.words[k] = tuple(chain.from_iterable(ids[u] if u in ids else self._other(u) for u in parts))
+                self.words[k] = b"".join(ids[u] if u in ids else self._other(u) for u in parts)
 
     def marked_words(self, text: str) -> list[str]:
         if self.normalizer:
@@ -235,7 +237,7 @@ class Codec:
         self._learn(new)
         get, out = self.words.__getitem__, []
         for w in words:
-            ids = np.fromiter(chain.from_iterable(map(get, w)), np.int32)
+            ids = np.frombuffer(b"".join(map(get, w)), np.int32)
             if not self.bytes_too and len(ids):
                 ids = ids[np.concatenate([[True], (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)])]
             out.append(ids)

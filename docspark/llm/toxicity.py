@@ -156,7 +156,7 @@ def logistic_scale(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from=None, rows: int = 2500, max_chars: int = 30_000, features: int = 3000, mined: int = 120) -> Model:
     """The model from at most ``rows`` documents a class of up to ``max_chars`` characters."""
-    sample = [(r["text"], r["y"]) for r in labelled_sample(docs, labels, "toxic", rows, max_chars, learn_from).toLocalIterator()]
+    sample = sorted((r["text"], r["y"]) for r in labelled_sample(docs, labels, "toxic", rows, max_chars, learn_from).toLocalIterator())
     y = np.array([b for _, b in sample], float)
     lexicon = Model({w: i for i, w in enumerate(LEXICON)}, set(LEXICON))
     lexicon.weights[-3], lexicon.bias = 3.0, -2.5
