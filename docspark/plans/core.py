@@ -192,7 +192,7 @@ def dup_ratio_near(spark, sf_dir):
 @query(
     f"""WITH {_BLOCKS}, {_NEAR}, {_STATS}
     SELECT d.doc_id, 'txt' AS format, 1 AS pages, coalesce(p.elements, 0) AS elements, coalesce(t.raw_chars, 0)::BIGINT AS chars, coalesce(t.raw_words, 0)::BIGINT AS words, 0 AS tables, 0 AS images, 0 AS formulas, 0 AS ocr_elements,
-    CASE WHEN {sql_trim('d.text')} = '' THEN 1 ELSE 0 END AS empty_pages, coalesce(round(least(1.0, (repeated + coalesce(near_chars, 0)) / t.chars), 4), 0.0) AS duplicate_text_ratio, 0.0 AS low_confidence_ocr_ratio
+    CASE WHEN {sql_trim('d.text')} = '' THEN 1 ELSE 0 END AS empty_pages, coalesce(round(least(1.0, (repeated + coalesce(near_chars, 0)) / t.chars), 4), 0.0) AS duplicate_text_ratio, CAST(0 AS DOUBLE) AS low_confidence_ocr_ratio
     FROM documents d LEFT JOIN total t USING (doc_id) LEFT JOIN exact USING (doc_id) LEFT JOIN near USING (doc_id) LEFT JOIN per p USING (doc_id)"""
 )
 def quality_report(spark, sf_dir):

@@ -54,8 +54,8 @@ def _domain_rows(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_DOMAINS} SELECT doc_id, domain, domain_hits, round(CASE domain WHEN 'unknown' THEN 0.3 ELSE least(0.95, least(0.28, 0.08 * domain_hits)
-    + CASE domain WHEN 'historical_book' THEN 0.7 WHEN 'legal' THEN 0.65 WHEN 'scientific' THEN 0.62 ELSE 0.6 END) END, 4) AS domain_confidence FROM e"""
+    f"""WITH {_DOMAINS} SELECT doc_id, domain, domain_hits, round(CAST(CASE domain WHEN 'unknown' THEN 0.3 ELSE least(0.95, least(0.28, 0.08 * domain_hits)
+    + CASE domain WHEN 'historical_book' THEN 0.7 WHEN 'legal' THEN 0.65 WHEN 'scientific' THEN 0.62 ELSE 0.6 END) END AS DOUBLE), 4) AS domain_confidence FROM e"""
 )
 def domain_profile(spark, sf_dir):
     return _domain_rows(spark, sf_dir).select("doc_id", "domain", "domain_hits", F.round("domain_confidence", 4).alias("domain_confidence"))

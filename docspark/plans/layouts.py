@@ -111,7 +111,7 @@ _ORDERED = f"""c AS (SELECT {', '.join(_COLUMNS)} FROM {S_NATIVE}),
     o AS (SELECT k.*, two, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY CASE WHEN two AND r THEN 1 ELSE 0 END, y0, x0, pos) AS reading_order FROM k JOIN p USING (doc_id, page_number))"""
 
 
-@query(f"WITH {_ORDERED} SELECT doc_id, page_number, pos, coalesce(two, false) AS two_columns, reading_order FROM o")
+@query(f"WITH {_ORDERED} SELECT doc_id, page_number, pos, coalesce(two, false) AS two_columns, reading_order::INT AS reading_order FROM o")
 def reading_order_two_col(spark, sf_dir):
     return layout.layout_order(_native(spark, sf_dir).selectExpr(*_COLUMNS)).select("doc_id", "page_number", "pos", "two_columns", "reading_order")
 
@@ -127,7 +127,7 @@ def caption_attach(spark, sf_dir):
     return layout.nearest_anchors(layout.layout_order(_native(spark, sf_dir).selectExpr(*_COLUMNS)))
 
 
-@query(f"SELECT doc_id, page_number, pos, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY pos) AS reading_order, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, pos) AS global_order FROM {S_NATIVE}")
+@query(f"SELECT doc_id, page_number, pos, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY pos)::INT AS reading_order, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, pos)::INT AS global_order FROM {S_NATIVE}")
 def natural_order(spark, sf_dir):
     return layout.natural_order(_native(spark, sf_dir)).select("doc_id", "page_number", "pos", "reading_order", "global_order")
 
