@@ -61,18 +61,20 @@ def near_duplicates(rows: DataFrame, least: float = 0.92) -> DataFrame:
     """
     every = rows.withColumn("an", T.normalize_similarity(F.col("block"))).where("an != ''")
     every = every.select("doc_id", "pos", "block", F.replace("an", F.lit(" "), F.lit("")).alias("ac"), F.split("an", " ").alias("ts")).withColumn("ds", F.array_distinct("ts"))
-    # the longest tokens of a block are its rarest, roughly
-    longest = "array_sort(ds, (p, q) -> CASE WHEN length(p) > length(q) THEN -1 WHEN length(p) < length(q) THEN 1 WHEN p < q THEN -1 WHEN p > q THEN 1 ELSE 0 END)"
+    # the longest tokens of a block are its rarest, roughly; equal hashes only make candidates
+    longest = "transform(array_sort(transform(ds, t -> struct(-length(t) AS l, t AS t))), x -> x.t)"
     slack = f"int(floor({1 - least:.4f} * size(ts) + 1e-9))"
-    a = every.select("doc_id", F.col("pos").alias("a_pos"), F.expr("size(ts) AS na"), F.expr(f"size(ds) - {slack} AS need"), F.explode(F.expr(f"slice({longest}, 1, {slack} + 1)")).alias("t"))
-    b = every.select("doc_id", F.col("pos").alias("b_pos"), F.expr("size(ts) AS nb"), F.expr("size(ds) AS db"), F.explode("ds").alias("t"))
+    a = every.select("doc_id", F.col("pos").alias("a_pos"), F.expr("size(ts) AS na"), F.expr(f"size(ds) - {slack} AS need"), F.explode(F.expr(f"transform(slice({longest}, 1, {slack} + 1), t -> xxhash64(t))")).alias("t"))
+    b = every.select("doc_id", F.col("pos").alias("b_pos"), F.expr("size(ts) AS nb"), F.expr("size(ds) AS db"), F.explode(F.expr("transform(ds, t -> xxhash64(t))")).alias("t"))
     some = a.join(b, ["doc_id", "t"]).where(f"a_pos < b_pos AND na >= {least} * nb AND db >= need").select("doc_id", "a_pos", "b_pos").distinct()
-    left = every.select("doc_id", F.col("pos").alias("a_pos"), *(F.col(c).alias("a_" + c) for c in ("block", "ac", "ts")))
-    right = every.select("doc_id", F.col("pos").alias("b_pos"), *(F.col(c).alias("b_" + c) for c in ("block", "ac", "ts")))
-    near = f"a_ac != b_ac AND NOT (contains(a_ac, b_ac) OR contains(b_ac, a_ac)) AND size(filter(a_ts, t -> array_contains(b_ts, t))) / greatest(size(a_ts), size(b_ts)) >= {least}"
-    shared = some.join(left, ["doc_id", "a_pos"]).join(right, ["doc_id", "b_pos"]).where(near).where("a_block != b_block")
+    left = every.select("doc_id", F.col("pos").alias("a_pos"), *(F.col(c).alias("a_" + c) for c in ("block", "ac", "ts", "ds")))
+    right = every.select("doc_id", F.col("pos").alias("b_pos"), *(F.col(c).alias("b_" + c) for c in ("block", "ac", "ts", "ds")))
+    # tokens of ``a`` that ``b`` lacks: few, or the pair is none; only then are their occurrences counted
+    pairs = some.join(left, ["doc_id", "a_pos"]).join(right, ["doc_id", "b_pos"]).where("a_ac != b_ac AND NOT (contains(a_ac, b_ac) OR contains(b_ac, a_ac)) AND a_block != b_block")
+    pairs = pairs.withColumn("lacks", F.array_except("a_ds", "b_ds")).where(f"size(lacks) <= floor({1 - least:.4f} * size(a_ts) + 1e-9)")
+    shared = pairs.where(f"size(filter(a_ts, t -> NOT array_contains(lacks, t))) / greatest(size(a_ts), size(b_ts)) >= {least}")
     size = ("doc_id", F.length("a_block").alias("x"), F.length("b_block").alias("y"))
-    ha, hb = (t.withColumn("h", F.xxhash64(c)) for t, c in ((left.drop("a_ts"), "a_ac"), (right.drop("b_ts"), "b_ac")))
+    ha, hb = (t.withColumn("h", F.xxhash64(c)) for t, c in ((left.drop("a_ts", "a_ds"), "a_ac"), (right.drop("b_ts", "b_ds"), "b_ac")))
     same = ha.join(hb, ["doc_id", "h"]).where("a_pos < b_pos AND a_ac = b_ac AND a_block != b_block")
     pairs = same.select(*size).unionByName(shared.select(*size))
     sums = pairs.groupBy("doc_id").agg(F.sum(F.expr("least(x, y) div 2")).alias("near_chars"))
