@@ -51,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, remembered for up to ``most`` of them."""
 
-    most = 400_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -252,10 +252,11 @@ def own_shingles(texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for b in batches:
-            sets = [shingle_set(t.as_py(), k, hashes) for t in b.column("data")]
-            node = np.repeat(b.column("node").to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(node)], names=["shingle", "node"])
+        for big in batches:
+            for b in (big.slice(i, 500) for i in range(0, big.num_rows, 500)):
+                sets = [shingle_set(t.as_py(), k, hashes) for t in b.column("data")]
+                node = np.repeat(b.column("node").to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(node)], names=["shingle", "node"])
 
     once = texts.mapInArrow(run, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     return once.groupBy("node").agg(F.count("*").alias("own"))

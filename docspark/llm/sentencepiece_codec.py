@@ -70,8 +70,8 @@ class Codec:
     """Encoder and decoder of one model."""
 
     #: Words whose ids are remembered.
-    most_words = 400_000
-    most_pairs = 600_000
+    most_words = 300_000
+    most_pairs = 400_000
 
     def __init__(self, model: bytes):
         self.kind, self.bytes_too, self.prefix, charsmap, squeeze = UNIGRAM, False, True, b"", True
@@ -268,6 +268,7 @@ def encode(docs: DataFrame, *keep: str, model_file: str = MODEL_FILE) -> DataFra
                 same = pa.array([codec.decode(x.tolist()) == t for x, t in zip(ids, texts)])
                 cols = [*(b.column(k) for k in keep), pa.ListArray.from_arrays(offsets, flat), pa.array(sizes, pa.int32()), same]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "token_ids", "n_tokens", "round_trip"])
+        codec.words.clear()  # the worker may serve other stages next
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ddl + "token_ids array<int>, n_tokens int, round_trip boolean")
 
