@@ -47,7 +47,7 @@ def localized_messages(spark, sf_dir):
 
 @query(f"SELECT doc_id, coalesce(min(confidence), 1.0) AS min_confidence, coalesce(min(confidence), 1.0) < 0.65 AS low FROM documents LEFT JOIN (SELECT doc_id, confidence FROM {S_OCR} WHERE pos % 5 = 0) USING (doc_id) GROUP BY doc_id")
 def min_confidence(spark, sf_dir):
-    rows = _ocr(spark, sf_dir).where("pos % 5 = 0").groupBy("doc_id").agg(F.min("confidence").alias("m"))
+    rows = _ocr(spark, sf_dir).groupBy("doc_id").agg(F.min("confidence").alias("m"))
     least = F.coalesce("m", F.lit(1.0))
     return docs(spark, sf_dir).select("doc_id").join(rows, "doc_id", "left").select("doc_id", least.alias("min_confidence"), (least < 0.65).alias("low"))
 
