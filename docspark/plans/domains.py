@@ -35,6 +35,11 @@ def _inline(spark, text):
     return spark.sql(text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
+def _documents_too(spark, sf_dir, text):
+    """The documents and the inline rows, which keep the ids that the SQL gives them."""
+    return docs(spark, sf_dir).select("doc_id", "text").unionByName(_inline(spark, text))
+
+
 def _hits(markers):
     return "(" + " + ".join(f"contains(low, '{m}')::INT" for m in markers) + ")"
 
@@ -99,13 +104,13 @@ _IDS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_
 
 @query(f"SELECT DISTINCT doc_id::BIGINT AS doc_id, kind, value FROM ({_IDS})")
 def legal_identifiers(spark, sf_dir):
-    rows = _inline(spark, LEGAL_DOCS).select("doc_id", F.explode(legal.identifiers(F.col("text"))).alias("i"))
+    rows = _documents_too(spark, sf_dir, LEGAL_DOCS).select("doc_id", F.explode(legal.identifiers(F.col("text"))).alias("i"))
     return rows.select("doc_id", "i.kind", "i.value")
 
 
 @query(f"SELECT doc_id::BIGINT AS doc_id, unnest(regexp_extract_all(text, '{_re2(legal.DATE)}', 1)) AS value FROM ({LEGAL_DOCS})")
 def legal_dates(spark, sf_dir):
-    return _inline(spark, LEGAL_DOCS).select("doc_id", F.explode(legal.dates(F.col("text"))).alias("value"))
+    return _documents_too(spark, sf_dir, LEGAL_DOCS).select("doc_id", F.explode(legal.dates(F.col("text"))).alias("value"))
 
 
 @query(
@@ -113,18 +118,18 @@ def legal_dates(spark, sf_dir):
     FROM (SELECT doc_id, text FROM ({values("doc_id text", [(1, "Сумма 1 250 000,50 руб и 999 и 5000 руб"), (2, "10000 RUB; 12 345"), (3, "нет")])}))) WHERE NOT (regexp_matches(value, '^[0-9]*$') AND length(value) < 4)"""
 )
 def legal_amounts(spark, sf_dir):
-    rows = _inline(spark, values("doc_id text", [(1, "Сумма 1 250 000,50 руб и 999 и 5000 руб"), (2, "10000 RUB; 12 345"), (3, "нет")]))
+    rows = _documents_too(spark, sf_dir, values("doc_id text", [(1, "Сумма 1 250 000,50 руб и 999 и 5000 руб"), (2, "10000 RUB; 12 345"), (3, "нет")]))
     return rows.select("doc_id", F.explode(legal.amounts(F.col("text"))).alias("a")).select("doc_id", "a.value")
 
 
 @query(f"SELECT doc_id::BIGINT AS doc_id, role FROM ({LEGAL_DOCS}) CROSS JOIN (SELECT unnest({list(legal.ROLES)!r}) AS role) WHERE contains(lower(text), lower(role))")
 def legal_parties(spark, sf_dir):
-    return _inline(spark, LEGAL_DOCS).select("doc_id", F.explode(legal.parties(F.col("text"))).alias("role"))
+    return _documents_too(spark, sf_dir, LEGAL_DOCS).select("doc_id", F.explode(legal.parties(F.col("text"))).alias("role"))
 
 
 @query(f"SELECT doc_id::BIGINT AS doc_id, unnest(regexp_extract_all(text, '{_re2(legal.CITATION)}', 1)) AS value FROM ({LEGAL_DOCS})")
 def legal_citations(spark, sf_dir):
-    return _inline(spark, LEGAL_DOCS).select("doc_id", F.explode(legal.citations(F.col("text"))).alias("value"))
+    return _documents_too(spark, sf_dir, LEGAL_DOCS).select("doc_id", F.explode(legal.citations(F.col("text"))).alias("value"))
 
 
 _LEGAL_ROWS = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 900000, text FROM ({LEGAL_DOCS}))"
@@ -153,7 +158,7 @@ _CHAPTERS = " UNION ALL ".join(
     SELECT doc_id::BIGINT AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY spot)::INT AS "index", title FROM t WHERE title <> ''"""
 )
 def book_chapters(spark, sf_dir):
-    rows = _inline(spark, BOOK_DOCS).select("doc_id", F.posexplode(book.chapters(F.col("text"))).alias("i", "title"))
+    rows = _documents_too(spark, sf_dir, BOOK_DOCS).select("doc_id", F.posexplode(book.chapters(F.col("text"))).alias("i", "title"))
     return rows.select("doc_id", (F.col("i") + 1).alias("index"), "title")
 
 

@@ -118,7 +118,7 @@ _MIXED = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos)
 
 @query(f"WITH RECURSIVE {_GRID}, {sql_chunks(_MIXED, 30)} SELECT doc_id, chunk_id, title, n_elements, first_pos, is_table, strlen(text) // 4 + 1 AS token_estimate FROM chunks WHERE doc_id > 900000")
 def table_chunks(spark, sf_dir):
-    rows = spark.sql(TABLE_DOCS).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
+    rows = _with(spark, sf_dir, TABLE_DOCS)
     table = tables.detect(rows).where("pipe_table IS NOT NULL").select("doc_id", F.lit(-1).alias("pos"), F.lit("table").alias("type"), tables.plain(F.col("pipe_table")).alias("text"))
     lines = txt.lines(rows).select("doc_id", "pos", F.lit("paragraph").alias("type"), F.col("line").alias("text"))
     every = table.unionByName(lines).withColumn("markdown", F.col("text"))
@@ -175,6 +175,7 @@ HTML_DOCS = values(
 )
 def html_tables(spark, sf_dir):
     rows = spark.sql(HTML_DOCS).selectExpr("CAST(page_id AS BIGINT) AS page_id", "html")
+    rows = docs(spark, sf_dir, "pages").select("page_id", "html").unionByName(rows)
     return html.cells(html.elements(rows)).drop("order")
 
 

@@ -22,3 +22,27 @@ def test_min_confidence_covers_every_line(spark, folder):
         least = min([(d * 31 + pos * 17) % 100 / 100 for pos, line in enumerate(text.split("\n")) if line], default=1.0)
         assert (got[d]["min_confidence"], got[d]["low"]) == (least, least < 0.65)
     assert len(got) == 4
+
+
+def test_inline_rows_do_not_stand_for_the_tables(spark, folder):
+    legal = "Контракт № 7-Б, ИНН 7701234567, 03.02.2021, сумма 12 500,75 руб. Арендатор, ст. 12 ГК РФ"
+    book = "Глава 4. Шторм\nтекст"
+    table = "Вступление\n| a | b |\n|---|---|\n| 1 | 2 |"
+    sf = folder(
+        documents=([(700001, legal), (700002, book), (700003, table), (700004, None), (700005, "")], "doc_id long, text string"),
+        pages=([(700001, "u", "<table><tr><th>k</th></tr><tr><td>v</td></tr></table>"), (700002, "u", None)], "page_id long, url string, html string"),
+    )
+
+    def got(name, key="doc_id"):
+        return [tuple(r) for r in QUERIES[name](spark, sf).where(f"{key} BETWEEN 700000 AND 800000").orderBy(key).collect()]
+
+    assert set(got("legal_identifiers")) == {(700001, "ИНН", "7701234567"), (700001, "contract_number", "7-Б")}
+    assert got("legal_dates") == [(700001, "03.02.2021")]
+    assert (700001, "12 500,75") in got("legal_amounts")
+    assert got("legal_parties") == [(700001, "Арендатор")]
+    assert got("legal_citations") == [(700001, "ст. 12 ГК РФ")]
+    assert got("book_chapters") == [(700002, 1, "Глава 4. Шторм")]
+    chunks = [r for r in got("table_chunks") if r[0] == 700003]
+    assert [(r[1], r[5]) for r in chunks] == [("chunk_table_1", True), ("chunk_2", False)]
+    assert {r[0] for r in got("table_chunks")} == {700001, 700002, 700003}
+    assert [r[:3] + (r[5], r[6]) for r in got("html_tables", "page_id")] == [(700001, 0, 0, "k", True), (700001, 1, 0, "v", False)]
