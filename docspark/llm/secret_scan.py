@@ -1,14 +1,17 @@
 """Secret scans: candidates from texts, then a random forest that removes false positives.
 
 Main path in DataFrame and SQL functions only. A candidate is a run of at least 12 letters,
-digits and ``+/_-`` with a digit, inside a word. Its features: length, shares of digits, upper case
+digits and ``+/_-`` with a digit, inside a word; a run that begins as a known key form; or the value,
+with all its signs up to a quote or blank, that follows a key word and ``=`` or ``:``. The last two
+need no digit and no length. Its features: length, shares of digits, upper case
 and distinct characters, character transitions, dictionary coverage, path signs, known key
 forms, what is before it in its word, and the neighbouring words. The forest is fitted on labelled findings on
 the driver (their number is a parameter; the default ones are generated by rule) and becomes
 one SQL expression, evaluated inside each document's row: no shuffle, no join.
 
 Defined results: null texts have no candidates and stay null; a word is judged wherever it stands, and one
-value that is a secret anywhere in a text is replaced everywhere in that text; equal texts
+value that is a secret anywhere in a text is replaced everywhere in that text, longer ones first and
+those under 12 characters only where no letter or digit adjoins; equal texts
 give equal findings; an empty table gives an empty result. Columns beyond the text are
 passed through under their own names.
 """
@@ -35,7 +38,12 @@ DICTIONARY = (
 ).split()
 KEY_WORDS = r"(?i)(secret|token|passw|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private|client.?id)"
 OTHER_WORDS = r"(?i)(sha\d*|md5|checksum|digest|commit|revision|uuid|guid|isbn|card|phone|tel|fax|version|release|figure|order|invoice|page|doc)"
-KNOWN_FORMS = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abp]-|AIza|eyJ|SG_|npm_|pypi-)"
+FORMS = "(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abp]-|AIza|eyJ|SG_|npm_|pypi-)"
+KNOWN_FORMS = f"^{FORMS}"
+FORMED = rf"(?<![A-Za-z0-9])({FORMS}[A-Za-z0-9+/_-]+={{0,2}})"
+#: A key word, a sign and what is set; the closing punctuation of a sentence or list is no part of it.
+SET = KEY_WORDS + r"[A-Za-z0-9_.-]{0,40}[\x22\x27\x60\])]{0,2} ?[:=]+>? ?[\x22\x27\x60(\[{]{0,2}"
+VALUE = r"([^\s\x22\x27\x60<>]*[^\s\x22\x27\x60<>,;.:)\]}])"
 FEATURES = {
     "len": "cast(length(f.core) as double)",
     "digits": "regexp_count(f.core, '[0-9]') / length(f.core)",
@@ -49,6 +57,8 @@ FEATURES = {
     "url": r"cast(f.word rlike r'(?i)(https?:|www[.]|@)' as double)",
     "breaks": "regexp_count(f.core, '[_/+-]') / length(f.core)",
     "form": f"cast(f.core rlike r'{KNOWN_FORMS}' as double)",
+    "signs": "regexp_count(f.core, '[^A-Za-z0-9+/_=-]') / length(f.core)",
+    "vowels": "regexp_count(f.core, '[aeiouyAEIOUY]') / length(f.core)",
     "given": "cast(f.head rlike r'[=:]' or f.before rlike r'[=:]$' as double)",
     "named": f"cast(concat_ws(' ', f.before, f.head) rlike r'{KEY_WORDS}' as double)",
     "other": f"cast(concat_ws(' ', f.before, f.head, f.after) rlike r'{OTHER_WORDS}' as double)",
@@ -64,9 +74,25 @@ def _candidates(text: str) -> str:
         'at', i, 'word', get(w, i - 1), 'head', split_part(get(w, i - 1), core, 1), 'core', core,
         'before', concat_ws(' ', get(w, i - 3), get(w, i - 2)), 'after', coalesce(get(w, i), '')))))"""
     kind = "array<struct<at:int,word:string,head:string,core:string,before:string,after:string>>"
+    none = f"cast(array() as {kind})"
     every = f"cast(transform({words}, w -> {cut})[0] as {kind})"
-    # most texts have no digit and are not cut at all
-    return f"CASE WHEN {text} rlike '[0-9]' THEN filter({every}, f -> f.core rlike '[0-9]') ELSE cast(array() as {kind}) END"
+    runs = f"CASE WHEN {text} rlike '[0-9]' THEN filter({every}, f -> f.core rlike '[0-9]') ELSE {none} END"
+
+    def named(found, cores):
+        return rf"""flatten(transform(filter(sequence(1, size(w)), i -> {found}), i -> transform({cores}, core -> named_struct(
+        'at', i, 'word', get(w, i - 1), 'head', split_part(get(w, i - 1), core, 1), 'core', core,
+        'before', concat_ws(' ', get(w, i - 3), get(w, i - 2)), 'after', coalesce(get(w, i), '')))))"""
+
+    formed = named(f"get(w, i - 1) rlike r'{FORMED}'", f"regexp_extract_all(get(w, i - 1), r'{FORMED}', 1)")
+    # the value is in the last of three words, the key word and the sign in any of them
+    three = "concat_ws(' ', get(w, i - 3), get(w, i - 2), get(w, i - 1))"
+    last = rf"{SET}{VALUE}(?=\S*$)"
+    given = named(f"{three} rlike r'{last}'", f"regexp_extract_all({three}, r'{last}', 2)")
+    ways = ((FORMED, formed), (KEY_WORDS + r"\S{0,42}\s*[:=]", given))
+    more = "concat(" + ", ".join(f"CASE WHEN {text} rlike r'{p}' THEN cast(transform({words}, w -> {x})[0] as {kind}) ELSE {none} END" for p, x in ways) + ")"
+    # what is found in more than one way counts once; all in the order of the text
+    order = "(a, b) -> CASE WHEN a.at != b.at THEN a.at - b.at ELSE length(a.head) - length(b.head) END"
+    return f"transform(array(named_struct('r', {runs}, 'm', {more})), x -> CASE WHEN size(x.m) = 0 THEN x.r ELSE array_sort(concat(x.r, array_except(x.m, x.r)), {order}) END)[0]"
 
 
 class Forest:
@@ -126,6 +152,11 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
     alnum = [f"regexp_replace({b}, '[+/]', '7')" for b in b64]
     word = f"element_at(array({', '.join(repr(w) for w in DICTIONARY[:120])}), cast(pmod(xxhash64(id, {{}}), 120) + 1 as int))"
     w = [word.format(i) for i in range(6)]
+    letters = f"translate(upper(concat({h[0]}, {h[1]})), '0123456789', 'GHJKMQRTVX')"
+    mixed = f"regexp_replace(concat({b64[1]}, {b64[2]}), '[^A-Za-z]', '')"
+    sound = "element_at(array('ba', 'ren', 'to', 'li', 'sche', 'mon', 'que', 'ta', 'ver', 'no', 'is', 'ga', 'ent', 'o', 'ri', 'de'), cast(pmod(xxhash64(id, {}), 16) + 1 as int))".format
+    spoken = f"concat({sound(11)}, {sound(12)}, CASE WHEN pmod(xxhash64(id, 15), 3) = 0 THEN '' ELSE {sound(13)} END, CASE WHEN pmod(xxhash64(id, 15), 3) < 2 THEN '' ELSE {sound(14)} END)"
+    upto = "cast(pmod(xxhash64(id, {}), {}) as int)".format
     digits = "substr(regexp_replace(concat({a}, {b}), '[a-f]', ''), 1, {n})".format
     true = [
         ("'token = \"'", f"substr({h[0]}, 1, 40)", "'\"'"),
@@ -138,6 +169,11 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
         ("'export SECRET='", f"substr({alnum[1]}, 1, 24)", "''"),
         ("''", f"concat('sk-', substr({alnum[1]}, 1, 40))", "''"),
         ("'client_secret \"'", f"substr({h[1]}, 1, 32)", "'\"'"),
+        ("''", f"concat('AKIA', substr({letters}, 1, 16))", "''"),
+        ("'token='", f"substr({mixed}, 1, 12 + {upto(21, 20)})", "''"),
+        ("'api_key = \"'", f"substr(lower({letters}), 1, 16 + {upto(22, 16)})", "'\"'"),
+        ("'password='", f"concat(substr({mixed}, 1, 4 + {upto(23, 5)}), cast(id % 97 as string))", "''"),
+        ("'password: '", f"concat(substr({alnum[0]}, 1, 3 + {upto(24, 7)}), substr('&!$%#@*&', 1 + {upto(25, 8)}, 1), substr({alnum[1]}, 1, 1 + {upto(26, 5)}))", "''"),
     ]
     false = [
         ("''", f"concat('4', {digits(a=h[0], b=h[1], n=15)})", "''"),
@@ -152,6 +188,13 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
         (f"concat({w[4]}, '=')", f"concat_ws('_', {w[0]}, {w[1]}, {w[2]}, concat('v', cast(id % 100 as string)))", "''"),
         ("''", f"concat_ws('-', substr({digits(a=h[0], b=h[2], n=12)}, 1, 4), '01', '15', {digits(a=h[1], b=h[2], n=6)})", "''"),
         ("'id='", digits(a=h[0], b=h[1], n=14), "''"),
+        ("'password: '", spoken, "'.'"),
+        ("'token='", w[0], "''"),
+        ("'Secret: '", f"initcap({spoken})", "','"),
+        ("'author: '", f"concat(initcap({spoken}), '-', initcap({w[0]}))", "''"),
+        ("'auth='", "cast(id % 1000 as string)", "''"),
+        ("''", f"concat(element_at(array('sk-', 'npm_', 'pypi-'), cast(id % 3 + 1 as int)), {w[0]})", "''"),
+        ("'password='", f"concat(element_at(array('$', '%', '*', '{{'), cast(id % 4 + 1 as int)), {w[0]}, '_', {w[1]})", "''"),
     ]
 
     def pick(kinds, part):
@@ -182,13 +225,20 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, text: str = "t
     return scored.withColumn("_found", F.expr(f"transform(_found, f -> named_struct('at', f.at, 'core', f.core, 'score', f.score, 'secret', f.score >= {threshold}D))"))
 
 
+def _masked(text: str, secrets: str) -> str:
+    """SQL for a text without its secrets: longer ones first, short ones only as values of their own."""
+    longest = f"array_sort({secrets}, (a, b) -> length(b) - length(a))"
+    alone = r"concat(r'(?<![A-Za-z0-9])\Q', replace(s, r'\E', r'\E\\E\Q'), r'\E(?![A-Za-z0-9])')"
+    return f"aggregate({longest}, {text}, (t, s) -> CASE WHEN length(s) < 12 THEN regexp_replace(t, {alone}, '{MASK}') ELSE replace(t, s, '{MASK}') END)"
+
+
 SECRETS = "array_distinct(transform(filter(_found, f -> f.secret), f -> f.core))"
 
 
 def report(docs: DataFrame, forest: Forest | None = None, **how) -> DataFrame:
     """doc_id, n_candidates, n_secrets, secrets (in order of appearance), redacted_sha256, a row per document."""
     found = scan(docs.select("doc_id", "text"), forest or fit(docs.sparkSession), **how).withColumn("secrets", F.expr(SECRETS))
-    clean = F.expr(f"aggregate(secrets, text, (t, s) -> replace(t, s, '{MASK}'))")
+    clean = F.expr(_masked("text", "secrets"))
     return found.select("doc_id", F.size("_found").alias("n_candidates"), F.expr("size(filter(_found, f -> f.secret))").alias("n_secrets"), "secrets", F.sha2(clean.cast("binary"), 256).alias("redacted_sha256"))
 
 
@@ -198,5 +248,5 @@ def redact(docs: DataFrame, forest: Forest | None = None, **how) -> DataFrame:
     inner = [f"_c{i}" for i in range(len(names))]
     own = inner[names.index("text")]
     found = scan(docs.toDF(*inner), forest or fit(docs.sparkSession), text=own, **how).withColumn("_secrets", F.expr(SECRETS))
-    clean = F.expr(f"aggregate(_secrets, {own}, (t, s) -> replace(t, s, '{MASK}'))")
+    clean = F.expr(_masked(own, "_secrets"))
     return found.select(*(clean.alias(n) if c == own else F.col(c).alias(n) for c, n in zip(inner, names)))
