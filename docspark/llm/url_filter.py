@@ -2,7 +2,7 @@
 
 A rule ``host/path`` fits its host and all subdomains when the url's path starts with the
 rule's; the longest wins (the earlier of equals). Hosts whose root a block rule decides
-are blocked seeds; hosts with pages that an allow rule decides are trusted seeds, unless
+are blocked seeds, with pages of their own or only linked to; hosts with pages that an allow rule decides are trusted seeds, unless
 blocked. Over the edges between hosts (absolute links in the pages' html) trust flows along links
 (personalised PageRank from the trusted seeds) and distrust against them (the same
 from the blocked seeds over reversed edges). A host is blocked when its distrust reaches
@@ -82,8 +82,11 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.02, **how) -> Data
     hosts = own.groupBy("host").agg(F.max(F.coalesce(F.col("_rule.verdict") == "allow", F.lit(False))).alias("vouched"))
     root = F.coalesce(first_rule(F.col("host"), F.lit("/"), rules)["verdict"], F.lit(""))
     direction = F.when(root == "block", "distrust").when((root == "allow") | F.col("vouched"), "trust")
+    edges = materialize(host_edges(pages))
+    linked = edges.select("src").union(edges.select("dst")).toDF("host").withColumn("vouched", F.lit(False))
+    hosts = hosts.unionByName(linked).groupBy("host").agg(F.max("vouched").alias("vouched"))
     seeds = hosts.where("host != ''").select("host", direction.alias("direction")).where("direction IS NOT NULL")
-    ranks = propagate(seeds, materialize(host_edges(pages)), **how)
+    ranks = propagate(seeds, edges, **how)
     bad = ranks.where((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("_host"))
     judged = own.join(bad, "host", "left")
     return judged.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), F.col("_host"), F.lit("allow")).alias("verdict"))

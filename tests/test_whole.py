@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from docspark.llm import secret_scan
+from docspark.llm import secret_scan, url_filter
 from docspark.plans.registry import QUERIES
 
 
@@ -71,3 +71,10 @@ def test_secrets_without_digits_or_length(spark):
     assert all(s not in clean[i] for i, s in want.items() if s in got[i]["secrets"])
     short = secret_scan.redact(spark.createDataFrame([(1, "password=Tr0ub4&3 aTr0ub4&3b, Tr0ub4&3.")], "doc_id long, text string"), forest).first()["text"]
     assert short == "password=[SECRET] aTr0ub4&3b, [SECRET]."
+
+
+def test_blocked_hosts_without_pages_are_seeds(spark):
+    link = '<a href="{}">x</a>'.format
+    pages = [(1, "http://spam.io/z", link("http://uncrawled.net/x")), (2, "http://fine.io/", link("http://other.io/")), (3, "http://third.io/", None)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
