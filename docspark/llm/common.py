@@ -50,12 +50,13 @@ def code_points(data: bytes) -> int:
     return len(data.translate(None, CONTINUATION))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int, learn_from=None) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int, learn_from=None, unlabelled: int = 0) -> DataFrame:
     """Bounded fitting sample: up to ``rows`` labelled documents of each class, in hash order of doc_id.
 
     Documents over ``max_chars`` characters stay out of the *fit* (never out of the scoring).
-    ``learn_from`` is a predicate on doc_id for rows whose label may be used.
-    Returns (doc_id, text, y), at most ``2 * rows`` rows.
+    ``learn_from`` is a predicate on doc_id for rows that may be learned from. ``unlabelled`` documents are
+    drawn from all of these rows, whether they have labels or not, and marked ``drawn``; what isn't also
+    taken for its label has y null. Returns (doc_id, text, y, drawn), at most ``2 * rows + unlabelled`` rows.
     """
     y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     if learn_from is not None:
@@ -63,13 +64,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     y = y.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     pick = y.where("y = 0").orderBy(*order).limit(rows).unionByName(y.where("y = 1").orderBy(*order).limit(rows))
-    # at most 2 * rows pairs of two numbers: bounded by the parameter, whatever the corpus
+    pick = pick.withColumn("drawn", F.lit(False))
+    if unlabelled:
+        ids = docs.select("doc_id").where("doc_id IS NOT NULL")
+        ids = ids if learn_from is None else ids.where(learn_from)
+        ids = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled)
+        pick = pick.unionByName(ids.select("doc_id", F.lit(None).cast("int").alias("y"), F.lit(True).alias("drawn")))
+        pick = pick.groupBy("doc_id").agg(F.max("y").alias("y"), F.max("drawn").alias("drawn"))
+    # at most 2 * rows + unlabelled pairs of two numbers: bounded by parameters, whatever the corpus
     found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(pick), "doc_id")
-    return found.limit(2 * rows)
+    return found.limit(2 * rows + unlabelled)
+
+
+def labelled_share(labels: DataFrame, label: str, learn_from=None) -> float | None:
+    """The share of label 1 among the labelled rows that may be learned from; None without any."""
+    usable = labels.where(F.col(label).isin(0, 1))
+    usable = usable if learn_from is None else usable.where(learn_from)
+    share = usable.agg(F.avg(label)).first()[0]
+    return None if share is None else float(share)
 
 
 def crc_remainder(doc_id: str, modulus: int):
-    """crc32 of the document id's decimal text, modulo ``modulus``."""
+    """crc32 of the document id's decimal text, modulo ``modulus``; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 

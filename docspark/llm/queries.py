@@ -18,10 +18,15 @@ def op2_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode(read_table(spark, sf_dir, "documents"))
 
 
+def held_out(modulus: int, remainder: int):
+    """Whether labels of a row are kept from learning; a row without doc_id has no label, and isn't."""
+    return F.coalesce(crc_remainder("doc_id", modulus) == remainder, F.lit(False)).alias("held_out")
+
+
 def op3_toxicity(spark, sf_dir):
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     scored = toxicity.score(docs, labels, learn_from=crc_remainder("doc_id", 3) != 1)
-    return scored.select("doc_id", (crc_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op4_mixing(spark, sf_dir):
@@ -39,7 +44,7 @@ def op6_fingerprints(spark, sf_dir):
 def op7_quality_crf(spark, sf_dir):
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     scored = quality_crf.score(docs, labels, learn_from=crc_remainder("doc_id", 4) != 2)
-    return scored.select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op8_near_dedup(spark, sf_dir):

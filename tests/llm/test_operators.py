@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from docspark.llm import fingerprints, mixing, near_dedup, quality_crf, quality_rules, secret_scan, sentencepiece_codec, token_counts, toxicity, url_filter
+from docspark.llm import fingerprints, mixing, near_dedup, quality_crf, quality_rules, queries, secret_scan, sentencepiece_codec, token_counts, toxicity, url_filter
 from docspark.llm.common import crc_remainder
 
 from .helpers import awkward, empty, frame, labels, words
@@ -55,6 +55,55 @@ def test_quality_rules_reject_junk_and_keep_the_rest(spark):
         assert got[i]["kept"] == bool(good) and not got[i]["base_failed"]
 
 
+def brute_depth(forest, tree, x):
+    """Path length of one row by walking the tree: splits until a leaf, and what the rest of its rows would take."""
+    node = 0
+    while forest.feature[tree, node] >= 0:
+        node = 2 * node + (2 if x[forest.feature[tree, node]] > forest.split[tree, node] else 1)
+    return forest.path[tree, node]
+
+
+def test_kept_equals_walking_the_trees(spark):
+    rows, marks = quality_corpus(random.Random(31), 240)
+    rows += [(1000, "short"), (1001, "la la la " * 40), (1002, None)]
+    docs, marked = frame(spark, rows), labels(spark, marks)
+    rules = quality_rules.fit(docs, marked)
+    got = as_dict(quality_rules.judge(docs, marked))
+    for d, text in rows:
+        n, chars, symbols, dup, repeat = brute_statistics(text)
+        raw = text or ""
+        ws, upper, bangs = raw.split(), sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in raw), raw.count("!")
+        x = {
+            "marks": [symbols / max(chars, 1), bangs / max(chars, 1)],
+            "repetition": [dup / max(raw.count("\n") + 1, 1), repeat / max(n, 1), sum(a == b for a, b in zip(ws, ws[1:])) / max(n, 1)],
+            "letters": [chars / max(n, 1), upper / max(chars, 1)],
+        }
+        scores = {k: 2 ** (-np.mean([brute_depth(f, t, x[k]) for t in range(f.trees)]) / f.norm) for k, f in rules.forests.items()}
+        failed = n < 50 or 100 * repeat > 50 * n
+        assert got[d]["base_failed"] == failed and got[d]["anomaly"] == pytest.approx(max(scores.values()))
+        assert got[d]["kept"] == (not failed and all(scores[k] <= rules.thresholds[k] for k in scores))
+
+
+def test_trees_isolate_as_their_path_lengths_say():
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(300, 2)), [[9.0, -9.0]]])
+    forest = quality_rules.IsolationForest(trees=60, sample=64).fit(x)
+    score = forest.score(x)
+    assert score.argmax() == 300 and score[300] > 0.65 and np.median(score) < 0.55
+    leaves = [(t, n) for t in range(60) for n in range(forest.feature.shape[1]) if forest.feature[t, n] < 0 and forest.path[t, n] > 0]
+    assert all(forest.path[t, n] >= int(np.log2(n + 1)) for t, n in leaves)
+
+
+def test_calibration_finds_the_best_allowed_threshold():
+    rng = np.random.default_rng(9)
+    score, bad = rng.random(200).round(2), rng.random(200) < 0.3
+    score[bad] += 0.4
+    threshold, gain = quality_rules.calibrate(score, bad, 0.05)
+    best = max((np.mean(score[bad] > t) - np.mean(score[~bad] > t) for t in np.arange(0, 1.5, 0.005) if np.mean(score[~bad] > t) <= 0.05))
+    assert gain == pytest.approx(best) and np.mean(score[~bad] > threshold) <= 0.05
+    assert quality_rules.calibrate(score, np.zeros(200, bool), 0.05) == (1.0, 0.0)
+
+
 def test_quality_rules_awkward(spark):
     docs = frame(spark, awkward())
     got = quality_rules.judge(docs, labels(spark)).collect()
@@ -150,6 +199,71 @@ def test_toxicity_finds_planted_terms_on_held_out_rows(spark):
     assert sum(p and not t for p, t in held) <= 2
 
 
+def test_score_is_the_linear_classifier_on_terms(spark):
+    rng = random.Random(17)
+    texts = [" ".join([words(rng, 30, 800)] + ["scumbagling"] * (3 * (i % 4 == 0))) for i in range(200)]
+    y = np.array([float(i % 4 == 0) if i % 5 else np.nan for i in range(200)])
+    model = toxicity.train(texts, y)
+    for text in [*texts[:8], "", "You IDIOT, you scumbagling", None]:
+        ws = __import__("re").findall(r"[^\W\d_]+", (text or "").lower())
+        times = Counter(t for w in ws for t in {w} | {w[:n] + "*" for n in (4, 5, 6) if len(w) > n})
+        present = set(times) | {t + "#" for t, n in times.items() if n >= max(2, 0.01 * len(ws))}
+        insult = [any(t in model.insults for t in {w} | {w[:n] + "*" for n in (4, 5, 6) if len(w) > n}) for w in ws]
+        near = any(h and any(v in toxicity.SECOND_PERSON for v in ws[max(0, i - 3) : i + 4]) for i, h in enumerate(insult))
+        z = sum(model.weights[i] for t, i in model.vocabulary.items() if t in present) + model.bias
+        numbers = [np.log1p(sum(insult)), min(1, 20 * sum(insult) / (len(ws) + 1)), near]
+        z = model.scale * (z + model.weights[-3:] @ numbers) + model.lean @ numbers + model.shift
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-z)))
+    assert all((model.score(t) > 0.5) == (i % 4 == 0) for i, t in enumerate(texts))
+
+
+def test_label_model_rests_at_its_own_estimates():
+    """EM's result must be what Bayes' rule gives under the parameters that it implies, written out vote by vote."""
+    rng = np.random.default_rng(5)
+    y = rng.random(400) < 0.25
+    votes = np.column_stack([np.where(y, rng.random(400) < 0.7, rng.random(400) < 0.004) for _ in range(6)] + [np.zeros(400)]).astype(float)
+    votes[:, 1] = np.where(rng.random(400) < 0.9, votes[:, 0], votes[:, 1])  # two voters that mostly repeat each other
+    votes[:, -1] = votes[:, :-1].sum(axis=1) == 0
+    post = toxicity.label_model(votes, rounds=300)
+
+    def rates(p):
+        return [sum(q * v[j] for q, v in zip(p, votes)) / sum(p) for j in range(6)]
+
+    on, off = rates(post), rates(1 - post)
+    left = [[v[j] - p * on[j] - (1 - p) * off[j] for j in range(6)] for p, v in zip(post, votes)]
+    tied = [(a, b) for a in range(6) for b in range(a) if sum(x[a] * x[b] for x in left) > 0.1 * (sum(x[a] ** 2 for x in left) * sum(x[b] ** 2 for x in left)) ** 0.5]
+    assert (1, 0) in tied
+    lead = list(range(6))
+    for _ in range(6):
+        for a, b in tied:
+            lead[a] = lead[b] = min(lead[a], lead[b])
+    prior = (sum(post) + 1) / 402
+    odds = [np.log(prior / (1 - prior))] * 400
+    silent = np.log(0.02 / ((sum((1 - p) * v[6] for p, v in zip(post, votes)) + 0.5) / (sum(1 - post) + 1)))
+    odds = [o + silent * v[6] for o, v in zip(odds, votes)]
+    for group in [[j for j in range(6) if lead[j] == g] for g in set(lead)]:
+        count = [int(sum(v[j] for j in group)) for v in votes]
+        law = []
+        for p in (1 - post, post):
+            some, total = sum(q for q, c in zip(p, count) if c), sum(q * c for q, c in zip(p, count))
+            more = (total - some + 0.1) / (total - some + 2 * some + 2.1)
+            law.append(lambda c, share=(some + sum(map(bool, count)) / 400) / (sum(p) + 1), more=more: share * c * more ** (c - 1) * (1 - more) ** 2)
+        odds = [o + (np.log(law[1](c) / law[0](c)) if c else 0) for o, c in zip(odds, count)]
+    assert post == pytest.approx(1 / (1 + np.exp(-np.array(odds))), abs=5e-3)
+    assert ((post > 0.5) == y).mean() > 0.93 and abs(prior - 0.25) < 0.06
+
+
+def test_held_out_is_false_without_an_id(spark, tmp_path):
+    frame(spark, awkward() + [(100 + i, f"text number {i} of a few") for i in range(30)]).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, [(100 + i, i % 2, i % 3 == 0 and 1 or 0) for i in range(30)]).write.parquet(f"{tmp_path}/labels.parquet")
+    for query, modulus, remainder in ((queries.op3_toxicity, 3, 1), (queries.op7_quality_crf, 4, 2)):
+        got = query(spark, str(tmp_path)).collect()
+        assert len(got) == 40
+        for r in got:
+            assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % modulus == remainder)
+            assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
+
+
 def test_toxicity_awkward(spark):
     got = toxicity.score(frame(spark, awkward()), labels(spark)).collect()
     assert len(got) == 10 and all(0 <= r["score"] <= 1 for r in got)
@@ -313,6 +427,66 @@ def test_forward_backward_matches_enumeration():
     assert expected == pytest.approx(total)
 
 
+def test_long_chains_match_short_steps():
+    rng = np.random.default_rng(2)
+    unary, trans, length = rng.normal(size=(4, 700)), rng.normal(size=(2, 2)), np.array([700, 333, 2, 1])
+    by_products, by_steps = (quality_crf.forward_backward(unary, length, trans, loop=n) for n in (1, 10**6))
+    assert by_products[0] == pytest.approx(by_steps[0]) and by_products[1] == pytest.approx(by_steps[1])
+
+
+def test_document_gradient_matches_differences_and_enumeration():
+    rng = np.random.default_rng(3)
+    pad, length, y = rng.normal(size=(3, 4, 33)), np.array([4, 2, 1]), np.array([1.0, 0.0, 1.0])
+    weight = rng.random((3, 4)) * (np.arange(4) < length[:, None])
+    weight /= weight.sum(axis=1, keepdims=True)
+    theta = 0.3 * rng.normal(size=39)
+    theta[-2] = 1.7
+
+    def loss(theta):
+        total, trans = 0.0, theta[-6:-2].reshape(2, 2)
+        for c in range(3):
+            n = length[c]
+            states = [tuple(int(b) for b in f"{s:0{n}b}") for s in range(2**n)]
+            w = np.array([np.exp(sum(pad[c, t] @ theta[:-6] * s[t] for t in range(n)) + sum(trans[s[t - 1], s[t]] for t in range(1, n))) for s in states])
+            q = sum(p * weight[c, t] * s[t] for p, s in zip(w / w.sum(), states) for t in range(n))
+            z = 1 / (1 + np.exp(-theta[-2] * (4 * q - 2) - theta[-1]))
+            total -= y[c] * np.log(z) + (1 - y[c]) * np.log(1 - z)
+        return total
+
+    got, grad = quality_crf.document_gradient(theta, pad, length, weight, y)
+    assert got == pytest.approx(loss(theta))
+    assert grad == pytest.approx([(loss(theta + 1e-5 * e) - loss(theta - 1e-5 * e)) / 2e-5 for e in np.eye(39)], abs=1e-5)
+
+
+def test_lines_of_mixed_documents_are_told_apart():
+    """Only documents have labels; bad ones are good lines around a run of junk."""
+    rng = random.Random(19)
+    texts, y, junk = [], [], []
+    for i in range(160):
+        lines = [words(rng, 14, 3000) + "." for _ in range(8)]
+        bad = i % 2 == 0
+        at = rng.randrange(0, 4)
+        marks = [bad and at <= k < at + 4 for k in range(8)]
+        texts.append("\n".join(" | ".join(x.split()) if m else x for x, m in zip(lines, marks)).encode())
+        y.append(float(not bad))
+        junk.append(marks)
+    own = [quality_crf.line_features(t) for t in texts]
+    model = quality_crf.LineCrf()
+    model.fit([a for a, _ in own[:120]], [b for _, b in own[:120]], np.array(y[:120]))
+    of_junk, of_good, hit = [], [], []
+    for (a, _), marks in zip(own[120:], junk[120:]):
+        unary = (quality_crf.with_neighbours((a - model.mean) / model.spread) @ model.weights)[None]
+        good, _ = quality_crf.forward_backward(unary, np.array([8]), model.trans)
+        hit += [(g < 0.5) == m for g, m in zip(good[0], marks)]
+        if any(marks):
+            of_junk += [g for g, m in zip(good[0], marks) if m]
+            of_good += [g for i, g in enumerate(good[0]) if not any(marks[max(0, i - 1) : i + 2])]
+    # lines beside a change see it in their neighbours and may go either way
+    assert np.mean(hit) > 0.85 and np.mean(np.array(of_junk) < 0.5) > 0.95 and np.mean(np.array(of_good) > 0.5) > 0.95
+    q = model.quality([a for a, _ in own[120:]], [b for _, b in own[120:]])
+    assert max(x for x, g in zip(q, y[120:]) if not g) < min(x for x, g in zip(q, y[120:]) if g)
+
+
 def test_crf_separates_held_out_rows(spark):
     rows, marks = quality_corpus(random.Random(12), 400)
     got = as_dict(quality_crf.score(frame(spark, rows), labels(spark, marks), learn_from=crc_remainder("doc_id", 4) != 2))
@@ -495,5 +669,5 @@ def test_label_model_with_many_correlated_voters():
         votes[np.ix_(rows, range(30 * f, 30 * f + 30))] = rng.random((rows.sum(), 30)) < 0.7
     votes[rng.random((n, 92)) < 0.003] = 1
     votes[:, -1] = votes[:, :-1].sum(axis=1) == 0
-    post = toxicity.label_model(votes, 1 / 3)
+    post = toxicity.label_model(votes)
     assert ((post > 0.5) == y).mean() > 0.97 and post[y].mean() > 0.9 and post[~y].mean() < 0.2
