@@ -113,6 +113,14 @@ def band_keys(items: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def digest_of(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
+def id_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def _sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
@@ -121,7 +129,7 @@ def _sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             for t in b.column("data"):
                 items = shingle_set(t.as_py(), k, hashes)
                 n.append(len(items))
-                digest.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
+                digest.append(digest_of(items) if len(items) else None)
                 keys.append(band_keys(items, bands, rows) if len(items) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
 
@@ -248,18 +256,23 @@ def block_links(able: DataFrame, texts: DataFrame, k: int, percent: int, keep, b
 
 
 def own_shingles(texts: DataFrame, k: int) -> DataFrame:
-    """(node, own): how many shingles of a node no other node of ``texts`` has; nodes without any are left out."""
+    """(node, text_id, own): how many shingles of a node's text no other text has; texts without any are left out.
+
+    ``text_id`` is the beginning of the set's digest, as a node may stand on several texts.
+    """
 
     def run(batches):
         hashes = WordHashes()
         for big in batches:
             for b in (big.slice(i, 500) for i in range(0, big.num_rows, 500)):
                 sets = [shingle_set(t.as_py(), k, hashes) for t in b.column("data")]
-                node = np.repeat(b.column("node").to_numpy(), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(node)], names=["shingle", "node"])
+                sizes = [len(x) for x in sets]
+                node = np.repeat(b.column("node").to_numpy(), sizes)
+                text_id = np.repeat(np.array([id_of(digest_of(x)) for x in sets], np.int64), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(node), pa.array(text_id)], names=["shingle", "node", "text_id"])
 
-    once = texts.mapInArrow(run, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    return once.groupBy("node").agg(F.count("*").alias("own"))
+    once = texts.mapInArrow(run, "shingle long, node long, text_id long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("text_id").alias("text_id")).where("c = 1")
+    return once.groupBy("node", "text_id").agg(F.count("*").alias("own"))
 
 
 def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-7) -> DataFrame:
@@ -274,18 +287,19 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: f
         made.append(materialize(df))
         return made[-1]
 
-    member = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    text_id = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("text_id")
+    member = nodes.select(F.explode("keys").alias("key"), "node", "n", text_id)
     crowded = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     active = keep(member.join(crowded, "key"))
     # texts of nodes in shared buckets, which all comparisons read
     candidates = active.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("data")).join(candidates, "node", "left_semi")
     texts = keep(texts)
-    # shingles that no other candidate has lie in no intersection: two nodes share at most ``common``
+    # shingles that no other candidate has lie in no intersection: two texts share at most ``common``
     own = own_shingles(texts, k)
-    shared = active.select("node", "n").distinct().join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    shared = active.select("node", "text_id", "n").distinct().join(own, ["node", "text_id"], "left").select("node", "text_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
     shared = keep(shared.where(f"100 * common >= {percent} * n"))
-    active = keep(active.select("key", "node").join(shared, "node"))
+    active = keep(active.select("key", "node", "text_id").join(shared, ["node", "text_id"]).drop("text_id"))
 
     def possible(n, common, hub_n, hub_common):
         return f"100 * least({common}, {hub_common}) >= {percent} * ({n} + {hub_n} - least({common}, {hub_common}))"
@@ -309,8 +323,12 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: f
     mixed = parts.join(several, "key").where(reaches).groupBy("key").agg(F.first("least_n").alias("least_n"), F.count("*").alias("c")).where("c > 1").select("key", "least_n")
     able = keep(placed.join(mixed, "key").where(reaches).select("key", "node", "n", "root"))
     more = block_links(able, texts, k, percent, keep).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    # a doc_id on several texts ties their nodes together
+    ids = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    several = ids.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b").select("doc_id")
+    same = ids.join(several, "doc_id").select("doc_id", "digest").distinct().join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     made.append(roots)
-    roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))).unionByName(same))
     for table in made:  # all but the sketch, its nodes and the roots
         discard(table)
     placed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
@@ -320,13 +338,21 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, miss: f
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents with one of each group left, with their own columns; repeats of a kept row go too."""
-    ident = docs["doc_id"].cast("long")
-    gone = group(docs, **how).where("NOT kept").select(F.col("doc_id").alias("_keep_one_id")).distinct()
-    again = docs.groupBy(ident.alias("_keep_one_id")).count().where("count > 1 AND _keep_one_id IS NOT NULL").select("_keep_one_id")
-    marks = gone.withColumn("_keep_one_gone", F.lit(True)).unionByName(again.join(gone, "_keep_one_id", "left_anti").withColumn("_keep_one_gone", F.lit(False)))
-    left = docs.join(marks, ident == F.col("_keep_one_id"), "left")
-    once = left.where("_keep_one_gone IS NULL").select(*(docs[c] for c in docs.columns))
-    # only rows whose doc_id recurs are dealt out by doc_id
-    repeated = left.where("NOT _keep_one_gone").select(*(docs[c] for c in docs.columns)).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    """The documents with one of each group left, with their own columns; repeats of a kept row go too.
+
+    Rows that share the kept doc_id but not their text all stay, since neither is a copy by its id alone; of rows that
+    share both, the first in the order of their JSON stays.
+    """
+    names = docs.columns
+    inner = [f"_c{i}" for i in range(len(names))]
+    own_id, own_text = (inner[names.index(n)] for n in ("doc_id", "text"))
+    left = docs.toDF(*inner).withColumn("_id", F.col(own_id).cast("long"))
+    gone = group(docs, **how).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
+    again = left.groupBy("_id").count().where("count > 1 AND _id IS NOT NULL").select("_id")
+    marks = gone.withColumn("_gone", F.lit(True)).unionByName(again.join(gone, "_id", "left_anti").withColumn("_gone", F.lit(False)))
+    left = left.join(marks, "_id", "left")
+    once = left.where("_gone IS NULL").select(*inner)
+    # only rows whose doc_id recurs are dealt out by doc_id and text
+    row = F.struct(*inner)
+    repeated = left.where("NOT _gone").groupBy("_id", own_text).agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return once.unionByName(repeated.select(*(F.col("_row")[c].alias(c) for c in inner))).toDF(*names)

@@ -547,6 +547,25 @@ def test_near_dedup_matches_brute_force(spark, k, percent):
     assert n == 0
 
 
+def test_a_doc_id_on_several_texts_links_by_any_of_them(spark):
+    rng = random.Random(23)
+    a, b, c = (words(rng, 60, 5000) for _ in range(3))
+    # 1 stands on a and on b; 2 is a near copy of a, 3 of b; 9 has b too, and c, of which 12 is a near copy
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (9, b), (9, c), (12, c + " end"), (20, words(rng, 60, 5000))]
+    got = near_dedup.group(frame(spark, rows), k=3, percent=85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (9, 1), (9, 1), (12, 1), (20, 20)]
+    small = frame(spark, [(1, a), (1, b), (2, a + " end")])
+    assert {r["component_id"] for r in near_dedup.group(small, k=3, percent=85).collect()} == {1}
+
+
+def test_keep_one_keeps_every_text_of_a_kept_id(spark):
+    rng = random.Random(24)
+    a, b = words(rng, 60, 5000), words(rng, 60, 5000)
+    rows = [(1, a, "en"), (1, b, "en"), (1, b, "de"), (1, b, "de"), (2, a + " end", "en"), (None, a, "x"), (None, None, "y")]
+    got = near_dedup.keep_one(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["lang"]) for r in got) == sorted([(1, a, "en"), (1, b, "de"), (0, a, "x"), (0, "", "y")])
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(2)
     errors = []
