@@ -1,24 +1,25 @@
 """I-Match fingerprints: hashes of the distinct terms of a document within randomised lexicon subsets.
 
 The lexicon holds the terms whose document frequency lies in a band (``low`` to ``high`` of all
-documents, that is, an inverse-document-frequency band). A document's distinct lexicon
+documents, that is, an inverse-document-frequency band); terms are words in ASCII lower case without ASCII punctuation. A document's distinct lexicon
 terms, sorted, are hashed within each of several random subsets of the lexicon. Subsets come in scales: scale k keeps a
 term with probability 2^-k; a document uses the scale at which one to two of its terms are expected
 in a subset, and the next, so that short and long documents are about as tolerant of edits.
 Likeness is the share of equal hashes among subsets that aren't empty, at a scale both have.
 
 The band's lower end bounds the lexicon: terms in at least ``low`` of N documents are at most
-(mean distinct terms of a document) / ``low``, whatever N. They are found exactly in two passes. A term that
-is frequent overall is frequent in at least one block of documents, so the blocks' own frequent
-terms are the candidates, and the second pass counts those.
+(mean distinct terms of a document) / ``low``, whatever N; that is what executors are sent. Document
+frequencies are exact: tasks count their own terms and flush when these are many, one
+aggregation by term adds the counts up.
 
 The edited text of a document takes its end from the next document by doc_id. Documents are dealt
 once by ranges of doc_id and sorted there; each range also gets the first document of the next one.
+The ranges' bounds come from a range partitioning of the bare ids; their number grows with the rows.
 
 Defined results: null texts count as empty; a text with fewer than ``least`` lexicon terms is
 hashed over all its terms; empty texts have the fingerprint of no term; equal texts have
 equal fingerprints and likeness 1; documents that share a doc_id follow each other by text; null
-doc_ids come first; a single document is its own successor; an empty table gives an
+doc_ids come first (all documents of one id, or of none, are sorted in one range); a single document is its own successor; an empty table gives an
 empty result. Columns beyond doc_id and text are never read.
 """
 
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, process_cache
+from .common import process_cache
 from .near_dedup import mix, step_key
 
 SUBSETS = 24
@@ -95,45 +96,26 @@ def likeness(a: str, b: str) -> float:
     return best
 
 
-def lexicon(docs: DataFrame, low: float = 0.001, high: float = 0.1, block: int = 8000, most: int = 2_000_000, most_terms: int = 1_500_000) -> Lexicon:
-    """Terms in ``low`` to ``high`` of the documents (at least two), exactly."""
+def lexicon(docs: DataFrame, low: float = 0.001, high: float = 0.1, most_terms: int = 500_000) -> Lexicon:
+    """Terms in ``low`` to ``high`` of the documents (at least two), exactly; a task holds ``most_terms`` counts at once."""
     data = docs.select(F.col("text").cast("binary").alias("data"))
 
-    def frequent(batches):
-        counts, n = Counter(), 0
+    def count(batches):
+        counts = Counter()
 
         def flush():
-            terms = [t for t, c in counts.items() if c >= low * n]
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([n] + [0] * (len(terms) - 1) if terms else [], pa.int64())], names=["term", "n"])
+            return out
 
         for b in batches:
             for t in b.column("data"):
                 counts.update(terms_of(t.as_py()))
-                n += 1
-            if len(counts) > most_terms:
-                yield flush()
-                n = 0
-        if n:
-            yield flush()
+                if len(counts) > most_terms:
+                    yield flush()
+        yield flush()
 
     total = docs.count()
-    # blocks of few documents would find every term frequent, so small partitions are read together
-    candidates = data.coalesce(max(1, total // block)).mapInArrow(frequent, "term binary, n long").select("term").distinct()
-    candidates = materialize(candidates)
-    size = candidates.count()
-    if size > most:
-        raise ValueError(f"{size} candidate terms are more than the {most} that executors may be sent; raise low")
-    # measured against ``most`` just above
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r[0]) for r in candidates.toLocalIterator()))
-
-    def count(batches):
-        counts = Counter()
-        for b in batches:
-            for t in b.column("data"):
-                counts.update(terms_of(t.as_py()) & known.value)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
-
     df = data.mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
     band = df.where((F.col("n") >= max(2.0, low * total)) & (F.col("n") <= high * total)).select("term")
     return Lexicon([bytes(r[0]) for r in band.toLocalIterator()])
@@ -145,29 +127,49 @@ def edited(own: str, following: str) -> str:
     return own[: len(own) - k] + following[:k]
 
 
-def fingerprint(docs: DataFrame, rows_per_range: int = 1000, most_ranges: int = 4096, **band) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+def range_starts(ids: DataFrame, ranges: int) -> np.ndarray:
+    """The smallest place of each range that holds any, in order: a number per range."""
+    dealt = ids.repartitionByRange(ranges, "place").select("place", F.spark_partition_id().alias("range"))
+    return np.array(sorted(r["place"] for r in dealt.groupBy("range").agg(F.min("place").alias("place")).toLocalIterator()), np.int64)
+
+
+def fingerprint(docs: DataFrame, rows_per_range: int = 20_000, least_ranges: int = 256, least_rows: int = 500, **band) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    A range holds about ``rows_per_range`` documents, or fewer where that makes less than ``least_ranges`` ranges of ``least_rows``.
+    """
     spark = docs.sparkSession
     terms = lexicon(docs, **band).terms
     digest = hashlib.blake2b(b" ".join(terms)).digest()
-    # bounded by the band's lower end and measured in lexicon()
+    # bounded by the band's lower end, whatever the number of documents
     sent = spark.sparkContext.broadcast(terms)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
-    ids = docs.select(place.alias("place"))
-    ranges = int(min(most_ranges, max(1, docs.count() // rows_per_range)))
-    cuts = sorted(set(ids.approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    cut = F.lit(0) if not cuts else F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("place").cast("double")))
-    firsts = sorted((r["range"], r["place"]) for r in ids.select("place", cut.alias("range")).groupBy("range").agg(F.min("place").alias("place")).toLocalIterator())
     rows = docs.select("doc_id", place.alias("place"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("range", cut.cast("int")).withColumn("after", F.lit(0))
-    # the first document of each range also closes the range before; at most ``most_ranges`` documents
-    heads = rows.where(F.col("place").isin([p for _, p in firsts])).groupBy("range", "place").agg(F.min("text").alias("text")).drop("range")
-    before = {p: firsts[i - 1][0] for i, (_, p) in enumerate(firsts)}
-    goes = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else None
-    if goes is not None:
-        heads = heads.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "place", "text", goes[F.col("place")].cast("int").alias("range"), F.lit(1).alias("after"))
-        rows = rows.unionByName(heads)
-    dealt = rows.repartition("range").sortWithinPartitions("range", "after", "place", "text")
+    total = docs.count()
+    ranges = max(1, total // rows_per_range, min(least_ranges, total // least_rows))
+    starts = range_starts(rows.select("place"), ranges)
+    # a number per range: 8 bytes for rows_per_range documents
+    bounds = spark.sparkContext.broadcast(starts)
+
+    def deal(batches):
+        """Each document to its range; the first document of a range also closes the one before, of the first range the last."""
+        starts = bounds.value
+        for b in batches:
+            at = b.column("place").to_numpy(zero_copy_only=False)
+            number = np.searchsorted(starts, at, "right") - 1
+            first = {}
+            for i in np.flatnonzero(starts[number] == at).tolist():
+                text = b.column("text")[i].as_py()
+                if number[i] not in first or text < first[number[i]][0]:
+                    first[number[i]] = (text, i)
+            heads = np.array([i for _, i in first.values()], np.int64)
+            for part, to, after in ((b, number, 0), (b.take(pa.array(heads)), (number[heads] - 1) % len(starts), 1)):
+                if part.num_rows:
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to, pa.int32()), pa.array(np.full(len(to), after), pa.int32())], names=[*part.schema.names, "range", "after"])
+
+    dealt = rows.mapInArrow(deal, f"doc_id {kind}, place long, text string, range int, after int")
+    dealt = dealt.repartition("range").sortWithinPartitions("range", "after", "place", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -181,6 +183,7 @@ def fingerprint(docs: DataFrame, rows_per_range: int = 1000, most_ranges: int =
                     new = edited(at[1], text).encode()
                     efp = words.fingerprint(new)
                     out.append((at[0], len(at[1]), hashlib.sha256(new).hexdigest(), at[3], efp, likeness(at[3], efp), likeness(at[3], fp)))
+                # of the documents that close a range only the first is next
                 at = None if after else (doc_id, text, rng, fp)
             cols = list(zip(*out)) if out else [()] * 7
             types = (b.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from docspark.llm import fingerprints, mixing, near_dedup, quality_crf, quality_rules, queries, secret_scan, sentencepiece_codec, token_counts, toxicity, url_filter
 from docspark.llm.common import crc_remainder
@@ -395,7 +396,72 @@ def test_lexicon_is_the_band_exactly(spark):
     rows = [(i, words(rng, 40, 300)) for i in range(400)]
     df = Counter(w for _, t in rows for w in set(t.split()))
     want = sorted(w.encode() for w, n in df.items() if 0.1 * 400 <= n <= 0.14 * 400)
-    assert fingerprints.lexicon(frame(spark, rows).repartition(5), low=0.1, high=0.14, block=30).terms == want
+    for flush in (5, 10**6):
+        assert fingerprints.lexicon(frame(spark, rows).repartition(5), low=0.1, high=0.14, most_terms=flush).terms == want
+
+
+def test_lexicon_of_a_wide_vocabulary(spark):
+    """Terms that occur once must neither enter the lexicon nor stop it, however many there are."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, 20, 400) + " " + " ".join(f"u{i}x{j}" for j in range(40))) for i in range(2000)]
+    got = fingerprints.lexicon(frame(spark, rows).repartition(8), low=0.01, high=0.2, most_terms=700)
+    assert len(got.terms) == 400
+
+
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_fingerprint(lexicon, text, subsets=24, least=4):
+    """The fingerprint, term by term: scale k keeps a term in a subset if its random number has k leading zero bits."""
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    every = sorted({w for w in "".join(" " if c in ".,;:!?\"'()[]{}|*$%&#<>" else c for c in (text or "")).translate(ASCII_LOWER).split()}, key=str.encode)
+    chosen = [w for w in every if w.encode() in lexicon]
+    chosen = chosen if len(chosen) >= least else every
+    hashes = [xxhash.xxh3_64_intdigest(w.encode()) for w in chosen]
+    k = max(0, len(chosen).bit_length() - 1)
+    out = f"{k:02d}"
+    for scale in (k, k + 1):
+        for j in range(subsets):
+            member = [h for h in hashes if mixed(h ^ (0x9E3779B97F4A7C15 * (j + 1) % 2**64)) >> 32 < 2 ** (32 - scale)]
+            digest = hashlib.blake2b(b"".join(h.to_bytes(8, "little") for h in member), digest_size=3).hexdigest()
+            out += digest if member else "-" * 6
+    return out
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    parts = lambda f: {(int(f[:2]) + s, j): f[2 + 6 * (24 * s + j) :][:6] for s in (0, 1) for j in range(24)}
+    x, y, best = parts(a), parts(b), 0.0
+    for scale in {s for s, _ in x} & {s for s, _ in y}:
+        pairs = [(x[scale, j], y[scale, j]) for j in range(24) if (x[scale, j], y[scale, j]) != ("-" * 6, "-" * 6)]
+        best = max(best, sum(p == q for p, q in pairs) / len(pairs) if pairs else 0.0)
+    return best
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(13)
+    rows = [(rng.randrange(-500, 500), words(rng, rng.randrange(0, 120), 300) + rng.choice(["", ".", " É (x)"])) for _ in range(150)]
+    rows += [(None, None), (None, "b c"), (None, "a b c d e"), (7, "zz " * 9), (7, "yy zz")]
+    docs = frame(spark, rows)
+    df = Counter(w for _, t in rows for w in fingerprints.terms_of((t or "").encode()))
+    lexicon = {w for w, n in df.items() if n >= 2 and 0.05 * len(rows) <= n <= 0.2 * len(rows)}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    want = []
+    for i, (d, t) in enumerate(order):
+        own, following = t or "", order[(i + 1) % len(order)][1] or ""
+        new = own[: len(own) - len(own) // 4] + following[: len(own) // 4]
+        a, b, c = (brute_fingerprint(lexicon, x) for x in (own, new, following))
+        want.append((d, len(own), hashlib.sha256(new.encode()).hexdigest(), a, b, round(brute_likeness(a, b), 9), round(brute_likeness(a, c), 9)))
+    for per_range in (7, 10**6):
+        got = fingerprints.fingerprint(docs.repartition(6), rows_per_range=per_range, low=0.05, high=0.2)
+        got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_fingerprints_awkward(spark):
