@@ -5,8 +5,11 @@ rule's; the longest wins (the earlier of equals). Hosts whose root a block rule
 are blocked seeds, with pages of their own or only linked to; hosts with pages that an allow rule decides are trusted seeds, unless
 blocked. Over the edges between hosts (absolute links in the pages' html) trust flows along links
 (personalised PageRank from the trusted seeds) and distrust against them (the same
-from the blocked seeds over reversed edges). A host is blocked when its distrust reaches
-``threshold`` and exceeds its trust.
+from the blocked seeds over reversed edges). Every seed restarts with 1 - ``alpha`` of its own, not with a share of
+one unit for all, so that a host's ranks and the ``threshold`` mean the same however many seeds there are;
+what reaches a host without further links ends there. A host is blocked when its distrust reaches
+``threshold`` and exceeds its trust. Rounds end once no rank moves by ``tolerance``, after ``rounds`` at the latest,
+when less than ``alpha`` ** ``rounds`` (0.006 %) of a seed's rank is still on its way.
 
 Edges are summed per pair of hosts before they are joined; the ranks are a table with a row
 per host and direction, written to the shared folder every few rounds. Joins with hosts leave a
@@ -23,13 +26,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 AZ, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINKS = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'>\s]+)"""
+#: A tag ends at the next angle bracket, so that broken html isn't searched again and again.
+LINKS = r"""(?i)<a\s[^<>]*?href\s*=\s*(?:["']\s*)?((?:https?:)?//[^"'>\s]+)"""
 
 
 def host_of(url) -> F.Column:
@@ -58,7 +62,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.select("src", dst.alias("dst")).where("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 12, alpha: float = 0.85, every: int = 4) -> DataFrame:
+ROUNDS = 60
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, alpha: float = 0.85, every: int = 4, tolerance: float = 1e-12) -> DataFrame:
     """(host, trust, distrust) from ``seeds`` (host, direction 'trust' or 'distrust')."""
     out = edges.groupBy("src").agg(F.sum("links").alias("all"))
     into = edges.groupBy("dst").agg(F.sum("links").alias("all"))
@@ -66,12 +73,19 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 12, alpha: float
     against = edges.join(into, "dst").select(F.lit("distrust").alias("direction"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("links") / F.col("all")).alias("share"))
     moves = materialize(along.unionByName(against))
     start = materialize(seeds.distinct().withColumn("rank", F.lit(1 - alpha)))
-    rank = start
+    rank = last = start
     for i in range(0 if moves.isEmpty() else rounds):
         moved = moves.join(rank, ["direction", "host"]).select("direction", F.col("to").alias("host"), (F.col("share") * F.col("rank") * alpha).alias("rank"))
         rank = start.unionByName(moved).groupBy("direction", "host").agg(F.sum("rank").alias("rank"))
         if i % every == every - 1:
             rank = materialize(rank)
+            change = rank.unionByName(last.withColumn("rank", -F.col("rank"))).groupBy("direction", "host").agg(F.abs(F.sum("rank")).alias("change"))
+            settled = change.where(F.col("change") > tolerance).isEmpty()
+            if last is not start:
+                discard(last)
+            last = rank
+            if settled:
+                break
     return rank.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("rank"))), F.lit(0.0)).alias(d) for d in ("trust", "distrust")))
 
 
@@ -92,7 +106,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.02, **how) -> Data
     return judged.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), F.col("_host"), F.lit("allow")).alias("verdict"))
 
 
-def _oracle(rules=RULES, rounds: int = 12, alpha: float = 0.85, threshold: float = 0.02) -> str:
+def _oracle(rules=RULES, rounds: int = ROUNDS, alpha: float = 0.85, threshold: float = 0.02) -> str:
     """The same rows in DuckDB's SQL: propagation as a chain of common table expressions."""
 
     def chain(what, host, path):
@@ -113,12 +127,14 @@ def _oracle(rules=RULES, rounds: int = 12, alpha: float = 0.85, threshold: float
     return f"""
 WITH own AS (SELECT page_id, {lower.format(u='url')} AS host, {path.format(u='url')} AS path, html FROM pages),
 ruled AS (SELECT page_id, host, path, {chain('rule', 'host', 'path')} AS rule, {chain('verdict', 'host', 'path')} AS by_rule FROM own),
-hosts AS (SELECT host, bool_or(coalesce(by_rule = 'allow', false)) AS vouched, {chain('verdict', 'host', "'/'")} AS root FROM ruled WHERE host <> '' GROUP BY host),
-r0 AS (SELECT host, CASE WHEN root = 'block' THEN 'distrust' ELSE 'trust' END AS direction, {1 - alpha} AS rank FROM hosts
-       WHERE root IS NOT NULL OR vouched),
 found AS (SELECT host AS src, unnest(regexp_extract_all(html, '{pattern}', 1)) AS link FROM own),
 named AS (SELECT src, {lower.format(u="(CASE WHEN starts_with(link, '//') THEN 'http:' ELSE '' END || link)")} AS dst FROM found),
 edges AS (SELECT src, dst, count(*) AS links FROM named WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+named_hosts AS (SELECT host, coalesce(by_rule = 'allow', false) AS allowed FROM ruled WHERE host <> ''
+  UNION ALL SELECT src, false FROM edges UNION ALL SELECT dst, false FROM edges),
+hosts AS (SELECT host, bool_or(allowed) AS vouched, {chain('verdict', 'host', "'/'")} AS root FROM named_hosts GROUP BY host),
+r0 AS (SELECT host, CASE WHEN root = 'block' THEN 'distrust' ELSE 'trust' END AS direction, {1 - alpha} AS rank FROM hosts
+       WHERE root IS NOT NULL OR vouched),
 moves AS (SELECT 'trust' AS direction, src AS host, dst AS dest, links / sum(links) OVER (PARTITION BY src) AS share FROM edges
           UNION ALL SELECT 'distrust', dst, src, links / sum(links) OVER (PARTITION BY dst) FROM edges),
 {steps}bad AS (SELECT host FROM r{rounds} GROUP BY host

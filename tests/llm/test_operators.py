@@ -349,6 +349,45 @@ def test_url_rules_and_propagation(spark):
     assert url_filter.judge(got.limit(0)).count() == 0
 
 
+def linked_pages(rng, n=160, hosts=40):
+    """Pages whose hosts link to each other in chains and cycles, some to hosts without pages."""
+    name = lambda i: f"h{i}.{['net', 'com', 'org', 'io'][i % 4]}"
+    rows = []
+    for i in range(n):
+        links = "".join(f'<a class=x href="https://{name(rng.randrange(hosts))}/p{i}">y</a>' for _ in range(rng.randrange(4)))
+        rows.append((i, f"https://{name(rng.randrange(hosts - 10))}/{rng.choice(['fr', 'en', 'de'])}/{i}", links, "block", 0, "clash"))
+    return rows + [(n, "https://far.io/", '<a href="http://never.crawled.net/">z</a>', None, 1, None)]
+
+
+def test_url_verdicts_equal_their_sql_with_links(spark, tmp_path):
+    import duckdb
+
+    rows = linked_pages(random.Random(29))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string, rank int, _rule string")
+    got = sorted(tuple(r) for r in url_filter.judge(pages).collect())
+    pages.select("page_id", "url", "html").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.execute(url_filter.ORACLE).fetchall())
+    verdicts = {(r[0]): r[4] for r in got}
+    assert verdicts[160] == "block" and {r[4] for r in got if r[3] is None} == {"allow", "block"}
+
+
+def test_long_chains_reach_a_far_host(spark):
+    """What 30 links lead to counts: ranks go on until they rest."""
+    edges = spark.createDataFrame([(f"c{i}", f"c{i + 1}", 1) for i in range(30)], "src string, dst string, links long")
+    seeds = spark.createDataFrame([("c30", "distrust")], "host string, direction string")
+    got = {r["host"]: r["distrust"] for r in url_filter.propagate(seeds, edges).collect()}
+    assert all(got[f"c{30 - i}"] == pytest.approx(0.15 * 0.85**i) for i in range(31))
+
+
+def test_very_long_pages(spark):
+    html = "<p>" + "x" * 2_000_000 + '<a href="http://a.net/">y</a>' + "<a " * 100_000 + "<a href=" + " " * 100_000
+    pages = spark.createDataFrame([(1, "http://long.io/" + "p/" * 50_000, html), (2, "http://b.io/", "")], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    assert got[1]["verdict"] == "block" and len(got[1]["path"]) == 100_001 and got[2]["verdict"] == "allow"
+
+
 def test_propagation_matches_dense_iteration(spark):
     rng = random.Random(9)
     hosts = [f"h{i}.com" for i in range(12)]
