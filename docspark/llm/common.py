@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,22 +31,42 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+_scratch: list[list[str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    for paths in _scratch:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialize`` that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    hconf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if re.search(r"/table-[0-9a-f]{32}$", folder):
-            p = jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(hconf).delete(p, True)
+            delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialize`` writes inside are deleted at the end; write what is to stay before that."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.remove(paths)
+        for path in paths:
+            delete(spark, path)
 
 
 def code_points(data: bytes) -> int:
