@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from docspark.llm import mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec
-from docspark.llm.common import read_table, shared_dir
+from docspark.llm.common import delete, read_table, scratch, shared_dir
 
 
 def quality(spark, docs, sf_dir):
@@ -40,11 +40,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to documents; each one's rows are written as Parquet and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """Apply the stages to documents; each one's rows are written as Parquet and read again, and what led to them is deleted."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
