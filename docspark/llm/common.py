@@ -64,7 +64,7 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        _scratch.remove(paths)
+        _scratch.pop()
         for path in paths:
             delete(spark, path)
 
