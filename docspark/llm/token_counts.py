@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import process_cache
+from .common import materialize, process_cache
 
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary cuts a text before merging.
@@ -85,4 +85,5 @@ def tokens_within(sums: DataFrame, limit: int) -> DataFrame:
 
 
 def report(docs: DataFrame, **tokenizer) -> DataFrame:
-    return suffix_sums(histogram(lengths(docs, **tokenizer)))
+    # the histogram is read twice; written once, it lets texts be encoded once
+    return suffix_sums(materialize(histogram(lengths(docs, **tokenizer))))
