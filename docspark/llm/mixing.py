@@ -9,8 +9,9 @@ crosses. Sums are whole multiples of 2^-20, so that equal runs agree and no docu
 more than ``most`` copies. Documents lie in order of size class, so the words taken come near the target.
 
 Ranks come from two levels: counts of blocks, summed within a source, and row numbers within
-a block. A block holds about 1/``blocks`` of all rows at most, so a source with a third of
-the rows is spread over many tasks. The source table has one row per distinct source name.
+a block. Blocks are cut so that one holds about ``block_rows`` rows, and at least ``blocks`` are made of all
+rows, so a source with a third of the rows is spread over many tasks. Only narrow rows are ranked; texts are
+joined to their copies by a number that each written row has. The source table has one row per distinct source name.
 
 Defined results: null text has size 0; sources of size 0 have target 0 and take nothing; a
 null source is a source of its own and comes last; rows that tie or repeat get
@@ -28,8 +29,9 @@ from .common import WORD, materialize
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Blocks that all rows together are cut into, about; a power of two.
+#: Blocks that all rows together are cut into at least, about, and rows of a block beyond that.
 BLOCKS = 1024
+BLOCK_ROWS = 65536
 ONE = 1 << 20
 
 
@@ -69,13 +71,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return every.withColumn("target", F.least(F.col("_limit").cast("double"), share)).drop("_i", "_w", "_limit", "_left", "_level")
 
 
-def plan(rows: DataFrame, weights=WEIGHTS, most: int = MOST, blocks: int = BLOCKS, seed: str = "mix") -> DataFrame:
+def plan(rows: DataFrame, weights=WEIGHTS, most: int = MOST, blocks: int = BLOCKS, block_rows: int = BLOCK_ROWS, seed: str = "mix") -> DataFrame:
     """``rows`` (doc_id, source, size, ...) with source_size, target, copies and taken."""
     rows = rows.withColumn("_class", size_class(F.col("size")))
     classes = materialize(rows.groupBy("source", "_class").agg(F.count("*").alias("_n"), F.sum("size").alias("_s")))
     sizes = targets(classes.groupBy("source").agg(F.sum("_s").alias("source_size")), weights, most)
     # one row per source and class of about 200; each is cut into blocks by its share of all rows
     every = classes.agg(F.sum("_n")).first()[0] or 1
+    blocks = max(blocks, every // block_rows)
     spread = classes.select("source", "_class", F.ceil(F.col("_n") * blocks / F.lit(every)).alias("_cuts"))
     spread = spread.withColumnRenamed("source", "_source").withColumnRenamed("_class", "_cls")
     block = F.pmod(_number(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("_cuts"))
@@ -98,11 +101,13 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents, each as many times as it is taken, with their own columns."""
     names = docs.columns
     inner = [f"_c{i}" for i in range(len(names))]
-    own = docs.toDF(*inner)
     pick = {n: F.col(inner[names.index(n)]) for n in ("doc_id", "source", "text")}
-    rows = own.select("*", pick["doc_id"].alias("doc_id"), pick["source"].alias("source"), word_count(pick["text"]).alias("size"))
-    copies = plan(rows, **how).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return copies.select(*inner).toDF(*names)
+    # written once, rows keep their number however often they are read
+    own = materialize(docs.toDF(*inner).withColumn("_size", word_count(pick["text"])).withColumn("_number", F.monotonically_increasing_id()))
+    rows = own.select("_number", pick["doc_id"].alias("doc_id"), pick["source"].alias("source"), F.col("_size").alias("size"))
+    copies = plan(rows, **how).where("copies > 0").select("_number", "copies")
+    taken = own.join(copies, "_number").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*inner).toDF(*names)
 
 
 def word_budget(docs: DataFrame, **how) -> DataFrame:
@@ -126,7 +131,7 @@ levels AS (
          / sum(w) OVER (ORDER BY lim / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 goals AS (
   SELECT source, source_size, least(lim::DOUBLE, coalesce(first_value(CASE WHEN lim >= level * w THEN level END IGNORE NULLS) OVER (ORDER BY lim / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * w, lim::DOUBLE)) AS target FROM levels),
-spread AS (SELECT source, cls, ceil(count(*) * {BLOCKS}.0 / (SELECT count(*) FROM rows))::BIGINT AS cuts FROM classed GROUP BY source, cls),
+spread AS (SELECT source, cls, ceil(count(*) * greatest({BLOCKS}, (SELECT count(*) FROM rows) // {BLOCK_ROWS}) / (SELECT count(*) FROM rows)::DOUBLE)::BIGINT AS cuts FROM classed GROUP BY source, cls),
 cut AS (
   SELECT c.*, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::BIGINT % cuts AS block
   FROM classed c JOIN spread s ON c.source IS NOT DISTINCT FROM s.source AND c.cls = s.cls),
