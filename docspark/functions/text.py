@@ -67,14 +67,23 @@ def normalize_similarity(x: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(x), "[^a-z0-9]+", " "))
 
 
+def similarity_parts(x: Column) -> Column:
+    """What ``similarity`` needs of one text, worked out once: normal form, the same without spaces, tokens."""
+    n = normalize_similarity(x)
+    return F.struct(n.alias("n"), F.replace(n, F.lit(" "), F.lit("")).alias("c"), F.split(n, " ").alias("t"))
+
+
+def similarity_of(a: Column, b: Column) -> Column:
+    """Similarity of two texts by their parts, in steps: equal, equal without spaces, contained, else shared tokens of ``a``."""
+    shared = F.size(F.filter(a["t"], lambda t: F.array_contains(b["t"], t))) / F.greatest(F.size(a["t"]), F.size(b["t"]))
+    within = F.contains(a["n"], b["n"]) | F.contains(b["n"], a["n"]) | F.contains(a["c"], b["c"]) | F.contains(b["c"], a["c"])
+    return F.when((a["n"] == "") | (b["n"] == ""), 0.0).when(a["n"] == b["n"], 1.0).when(a["c"] == b["c"], 0.95).when(within, 0.85).otherwise(shared)
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """Similarity of two texts in steps: equal, equal without spaces, contained, else shared tokens of ``a``."""
-    an, bn = normalize_similarity(a), normalize_similarity(b)
-    ac, bc = F.replace(an, F.lit(" "), F.lit("")), F.replace(bn, F.lit(" "), F.lit(""))
-    at, bt = F.split(an, " "), F.split(bn, " ")
-    shared = F.size(F.filter(at, lambda t: F.array_contains(bt, t))) / F.greatest(F.size(at), F.size(bt))
-    within = F.contains(an, bn) | F.contains(bn, an) | F.contains(ac, bc) | F.contains(bc, ac)
-    return F.when((an == "") | (bn == ""), 0.0).when(an == bn, 1.0).when(ac == bc, 0.95).when(within, 0.85).otherwise(shared)
+    """Similarity of two texts; where rows are many, put ``similarity_parts`` in columns and compare these."""
+    parts = F.transform(F.array(F.struct(similarity_parts(a).alias("a"), similarity_parts(b).alias("b"))), lambda p: similarity_of(p["a"], p["b"]))
+    return F.get(parts, F.lit(0))
 
 
 def normalize_block(x: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +41,10 @@ def amounts(text: Column) -> Column:
     return F.transform(kept, lambda a: F.struct(a["value"].alias("value"), F.nullif(a["currency"], F.lit("")).alias("currency")))
 
 
-def parties(text: Column) -> Column:
-    low = F.lower(text)
-    return F.filter(F.array(*map(F.lit, ROLES)), lambda r: F.contains(low, F.lower(r)))
+def parties(text: Column, low: Column | None = None) -> Column:
+    """Roles that occur in any case; ``low`` is the lower-cased text where it is at hand."""
+    low = F.lower(text) if low is None else low
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(r.lower())), F.lit(r)) for r in ROLES)))
 
 
 def citations(text: Column) -> Column:
@@ -50,9 +54,10 @@ def citations(text: Column) -> Column:
 def extract(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with all legal fields, document_type, confidence and whether the required ones are present."""
     x = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(x)
-    has = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
-    out = docs.withColumns({"identifiers": identifiers(x), "dates": dates(x), "amounts": amounts(x), "parties": parties(x), "citations": citations(x)})
+    low = F.col("_low")  # lowered once, in a step before the tests
+    has = lambda *words: reduce(operator.or_, (F.contains(low, F.lit(w)) for w in words))
+    docs = docs.withColumn("_low", F.lower(x))
+    out = docs.withColumns({"identifiers": identifiers(x), "dates": dates(x), "amounts": amounts(x), "parties": parties(x, low), "citations": citations(x)})
     n = F.size("parties") + F.size("dates") + F.size("identifiers") + F.size("amounts")
     return out.withColumns({
         "document_type": F.when(has("договор", "контракт"), "contract").when(has("решение", "суд"), "court_act"),
@@ -60,4 +65,4 @@ def extract(docs: DataFrame, text: str = "text") -> DataFrame:
         "risks": F.when(has("штраф", "неустойка"), F.array(F.lit("penalty_clause"))).otherwise(F.array().cast("array<string>")),
         "confidence": F.when(n == 0, 0.25).otherwise(F.least(F.lit(0.95), 0.45 + n * 0.07)),
         "required_present": (F.size("parties") > 0) & (F.size("dates") > 0) & (F.size("identifiers") > 0),
-    })
+    }).drop("_low")

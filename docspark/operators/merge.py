@@ -22,9 +22,11 @@ def duplicates(ocr: DataFrame, native: DataFrame, min_iou: float = 0.5, min_simi
 
     Pairs share a document and page, so one shuffle by these; the box test comes before the text test.
     """
-    a, b = prefixed(ocr, "o_", "pos", "text"), prefixed(native, "n_", "pos", "text")
+    # texts are normalised and split once a row, not once a pair
+    a = prefixed(ocr, "o_", "pos", "text").withColumn("o_parts", T.similarity_parts(F.col("o_text")))
+    b = prefixed(native, "n_", "pos", "text").select("doc_id", "page_number", *("n_" + c for c in BOX), T.similarity_parts(F.col("n_text")).alias("n_parts"))
     same = (a["doc_id"] == b["doc_id"]) & (a["page_number"] == b["page_number"])
-    near = F.when(G.iou("o_", "n_") >= min_iou, T.similarity(F.col("n_text"), F.col("o_text")) >= min_similarity).otherwise(False)
+    near = F.when(G.iou("o_", "n_") >= min_iou, T.similarity_of(F.col("n_parts"), F.col("o_parts")) >= min_similarity).otherwise(False)
     return a.join(b, same & near, how).select("doc_id", "page_number", *(F.col("o_" + c).alias(c) for c in ("pos", "text", *BOX)))
 
 

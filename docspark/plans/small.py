@@ -45,7 +45,7 @@ def localized_messages(spark, sf_dir):
     return rows.select("code", messages.localized(F.col("code"), F.lit("fallback")).alias("message"))
 
 
-@query(f"SELECT doc_id, coalesce(min(confidence), 1.0) AS min_confidence, coalesce(min(confidence), 1.0) < 0.65 AS low FROM documents LEFT JOIN (SELECT doc_id, confidence FROM {S_OCR} WHERE pos % 5 = 0) USING (doc_id) GROUP BY doc_id")
+@query(f"SELECT doc_id, coalesce(min(confidence), 1.0) AS min_confidence, coalesce(min(confidence), 1.0) < 0.65 AS low FROM documents LEFT JOIN (SELECT doc_id, confidence FROM {S_OCR}) USING (doc_id) GROUP BY doc_id")
 def min_confidence(spark, sf_dir):
     rows = _ocr(spark, sf_dir).groupBy("doc_id").agg(F.min("confidence").alias("m"))
     least = F.coalesce("m", F.lit(1.0))

@@ -113,10 +113,10 @@ def table_cells(spark, sf_dir):
 # A document's lines with its pipe table in front, as chunks: tables stand alone.
 _MIXED = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, pos, type, text, markdown FROM (
     SELECT doc_id, -1 AS pos, 'table' AS type, text, text AS markdown FROM (SELECT doc_id, array_to_string(flatten(grid), ' | ') AS text FROM padded WHERE kind = 'pipe')
-    UNION ALL SELECT doc_id, pos, 'paragraph', line, line FROM {sql_lines('(' + TABLE_DOCS + ')')})"""
+    UNION ALL SELECT doc_id, pos, 'paragraph', line, line FROM {sql_lines('(SELECT doc_id, text FROM documents UNION ALL ' + TABLE_DOCS + ')')})"""
 
 
-@query(f"WITH RECURSIVE {_GRID}, {sql_chunks(_MIXED, 30)} SELECT doc_id, chunk_id, title, n_elements, first_pos, is_table, strlen(text) // 4 + 1 AS token_estimate FROM chunks WHERE doc_id > 900000")
+@query(f"WITH RECURSIVE {_GRID}, {sql_chunks(_MIXED, 30)} SELECT doc_id, chunk_id, title, n_elements, first_pos, is_table, strlen(text) // 4 + 1 AS token_estimate FROM chunks")
 def table_chunks(spark, sf_dir):
     rows = _with(spark, sf_dir, TABLE_DOCS)
     table = tables.detect(rows).where("pipe_table IS NOT NULL").select("doc_id", F.lit(-1).alias("pos"), F.lit("table").alias("type"), tables.plain(F.col("pipe_table")).alias("text"))
