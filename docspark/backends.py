@@ -92,6 +92,18 @@ def choose(primary: Backend | None, fallbacks: list[Backend], is_up: Callable[[B
     return None, said
 
 
+def of(config: dict, kind: str) -> tuple[Backend | None, Backend | None]:
+    """(backend, fallback) of a kind by configuration: services under ``config[kind]`` ({"url", "seconds", "name"} or a
+    list of them), the first that is up; ``mock_<kind>`` allows the stand-in. Without either there is none."""
+    given = config.get(kind) or []
+    services = [HttpBackend(g.get("name", kind), kind, g["url"], float(g.get("seconds", 30))) for g in (given if isinstance(given, list) else [given])]
+    spare = Backend(f"mock_{kind}", kind) if config.get(f"mock_{kind}") else None
+    if not services:
+        return spare, None
+    found, _ = choose(services[0], [*services[1:], *([spare] if spare else [])])
+    return found, spare
+
+
 def apply(pages: DataFrame, backend: Backend, fallback: Backend | None = None) -> DataFrame:
     """Lines or regions of pages (doc_id, page_number, image)."""
     kind = pages.schema["doc_id"].dataType.simpleString()

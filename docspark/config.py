@@ -58,7 +58,7 @@ class Config:
     max_file_size_mb: int = 512
     max_assets_mb: int = 2048
     language_min_chars: int = 40
-    backends: dict = field(default_factory=lambda: {"mock_ocr": True, "heuristic_layout": True})
+    backends: dict = field(default_factory=lambda: {"mock_ocr": False, "heuristic_layout": True})
 
     @classmethod
     def of(cls, *layers: dict) -> Config:

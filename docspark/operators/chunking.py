@@ -27,8 +27,8 @@ _FOLD = """aggregate(elements,
 _NEW = "(s.held = 0 OR s.alone OR e.type IN ('heading', 'table') OR (s.size + octet_length(e.text)) div 4 + 1 > {most})"
 
 
-def chunk(rows: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Chunks of ``rows`` (doc_id, elements, ...): one row each, in document order.
+def chunk(rows: DataFrame, max_tokens: int = MAX_TOKENS, positions: bool = False) -> DataFrame:
+    """Chunks of ``rows`` (doc_id, elements, ...): one row each, in document order; with ``positions`` of all their elements if wanted.
 
     ``elements`` is an array of (pos, type, text, markdown); a table stands alone and leaves the
     section's title as it was.
@@ -51,6 +51,7 @@ def chunk(rows: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     flat = flat.select(
         *every, "n", F.concat(F.when(table, "chunk_table_").otherwise("chunk_"), "n").alias("chunk_id"), "title", texts.alias("text"), marks.alias("markdown"),
         F.size("part").alias("n_elements"), F.col("part")[0]["pos"].alias("first_pos"), F.element_at("part", -1)["pos"].alias("last_pos"), table.alias("is_table"),
+        *([F.transform("part", lambda x: x["pos"]).alias("positions")] if positions else []),
     )
     return flat.withColumn("token_estimate", T.token_estimate(F.col("text")))
 

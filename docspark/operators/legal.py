@@ -51,6 +51,11 @@ def citations(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
 
 
+def required_present(text: Column) -> Column:
+    """Whether a text names a party, a date and an identifier."""
+    return (F.size(parties(text)) > 0) & (F.size(dates(text)) > 0) & (F.size(identifiers(text)) > 0)
+
+
 def extract(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with all legal fields, document_type, confidence and whether the required ones are present."""
     x = F.coalesce(F.col(text), F.lit(""))

@@ -55,7 +55,7 @@ def issues(documents: DataFrame, pages: DataFrame, elements: DataFrame, assets:
             [
                 ("ELEMENT_MISSING_PROVENANCE", ERROR, F.col("provenance").isNull()),
                 ("ELEMENT_MISSING_CONFIDENCE", ERROR, F.col("confidence").isNull()),
-                ("TEXT_ELEMENT_CONTENT_EMPTY", ERROR, F.col("type").isin(*TEXT_TYPES) & blank("text")),
+                ("TEXT_ELEMENT_CONTENT_EMPTY", ERROR, F.col("type").isin(*TEXT_TYPES) & blank("text") & (blank("html") if "html" in elements.columns else F.lit(True))),
             ],
         ),
     ]

@@ -6,6 +6,7 @@ over Arrow batches; everything after it is DataFrame work. No shuffle.
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -27,14 +28,20 @@ class Node:
     def __init__(self, tag, attrs=()):
         self.tag, self.attrs, self.children = tag, dict(attrs), []
 
+    def _every(self):
+        """Nodes and strings below, in order; by a stack of its own, as pages may nest without end."""
+        todo = list(reversed(self.children))
+        while todo:
+            c = todo.pop()
+            yield c
+            if not isinstance(c, str):
+                todo.extend(reversed(c.children))
+
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(c for c in self._every() if isinstance(c, str))
 
     def walk(self):
-        for c in self.children:
-            if not isinstance(c, str):
-                yield c
-                yield from c.walk()
+        return (c for c in self._every() if not isinstance(c, str))
 
 
 class Tree(HTMLParser):
@@ -87,7 +94,7 @@ def parse(html: str | None) -> Node:
 
 def _span(node: Node, name: str) -> int:
     value = (node.attrs.get(name) or "1").strip()
-    return int(value) if value.isdigit() else 1
+    return int(value) if re.fullmatch("[0-9]{1,6}", value) else 1
 
 
 def table_cells(table: Node) -> list[dict]:
@@ -138,7 +145,10 @@ def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
         for b in batches:
             keys, rows = [], []
             for k, h in zip(b.column("_key").to_pylist(), b.column("_html").to_pylist()):
-                found = page_elements(h)
+                try:
+                    found = page_elements(h)
+                except Exception as e:  # one broken page must not end the job
+                    found = [{"type": "error", "tag": None, "text": None, "markdown": None, "cells": [], "warning": f"HTML_READ_FAILED: {type(e).__name__}: {e}"}]
                 keys += [k] * len(found)
                 rows += [{"order": i + 1, **e} for i, e in enumerate(found)]
             fields = {"order": pa.int32(), "type": pa.string(), "tag": pa.string(), "text": pa.string(), "markdown": pa.string(), "cells": pa.list_(cell), "warning": pa.string()}

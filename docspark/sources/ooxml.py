@@ -23,6 +23,7 @@ FIELDS = {"page_number": pa.int32(), "page_name": pa.string(), "pos": pa.int32()
 #: Bytes of an entry and of a whole package, unpacked.
 MOST_ENTRY, MOST_TOTAL = 32 << 20, 256 << 20
 MOST_ROWS = 200
+MOST_COLUMNS = 1000
 
 
 class PackageError(ValueError):
@@ -185,7 +186,10 @@ def _column(name: str) -> int:
 
 
 def sheets(package: Package):
-    """(name, rows of texts, formulas by place) of each sheet."""
+    """(name, width, texts of the rows that hold any by their number, formulas by place) of each sheet.
+
+    Rows are kept as they are filled, since a sheet may have its cells far apart.
+    """
     book = package.xml("xl/workbook.xml")
     if book is None:
         raise PackageError("XLSX_WORKBOOK_XML_MISSING")
@@ -197,12 +201,13 @@ def sheets(package: Package):
         root = package.xml(path)
         grid, formulas = {}, {}
         for r, tr in enumerate(find_all(root, "row") if root is not None else []):
-            at = int(attr(tr, "r", r + 1)) - 1
+            given = str(attr(tr, "r", ""))
+            at = int(given) - 1 if re.fullmatch("[0-9]{1,7}", given) and int(given) else r
             for k, c in enumerate(n for n in tr if local(n) == "c"):
                 col = _column(attr(c, "r", "")) if attr(c, "r") else k
                 value = next((n.text or "" for n in c if local(n) == "v"), "")
                 kind = attr(c, "t", "n")
-                if kind == "s" and value.isdigit() and int(value) < len(strings):
+                if kind == "s" and re.fullmatch("[0-9]{1,9}", value) and int(value) < len(strings):
                     value = strings[int(value)]
                 elif kind == "inlineStr":
                     value = "".join(t.text or "" for t in find_all(c, "t"))
@@ -212,33 +217,37 @@ def sheets(package: Package):
                 if formula:
                     formulas[at, col] = "=" + formula
                 grid[at, col] = " ".join(value.split())
-        height = max((r for (r, _), v in grid.items() if v.strip()), default=-1) + 1
         width = max((c for _, c in grid), default=-1) + 1
-        yield attr(sheet, "name", ""), [[grid.get((r, c), "") for c in range(width)] for r in range(height)], formulas
+        rows: dict[int, dict[int, str]] = {}
+        for (r, c), v in grid.items():
+            rows.setdefault(r, {})[c] = v
+        yield attr(sheet, "name", ""), width, {r: v for r, v in sorted(rows.items()) if any(x.strip() for x in v.values())}, formulas
+
+
+def _cell(r: int, c: int, text: str, formula: str | None, is_header: bool) -> dict:
+    formula = formula or (text if text.startswith("=") and len(text) > 1 else None)
+    return {"row": r, "column": c, "rowspan": 1, "colspan": 1, "text": text, "formula": formula, "is_header": is_header}
 
 
 def xlsx(data: bytes) -> list[dict]:
     package = Package(data)
     media = [n for n in package.names if n.startswith("xl/media/")]
     out = []
-    for page, (name, rows, formulas) in enumerate(sheets(package), 1):
+    for page, (name, width, rows, formulas) in enumerate(sheets(package), 1):
         pos = 0
-        filled = [any(v.strip() for v in r) for r in rows]
-        runs, start = [], None
-        for i, f in enumerate([*filled, False]):
-            if f and start is None:
-                start = i
-            elif not f and start is not None:
-                runs.append((start, i))
-                start = None
-        for a, b in runs or ([(0, len(rows))] if rows else []):
+        runs: list[list[int]] = []
+        for r in rows:
+            if runs and r == runs[-1][1]:
+                runs[-1][1] = r + 1
+            else:
+                runs.append([r, r + 1])
+        for a, b in runs:
             for s in range(a, b, MOST_ROWS):
-                e = min(b, s + MOST_ROWS)
                 cells = []
-                for r in range(s, e):
-                    for c, v in enumerate(rows[r]):
-                        f = formulas.get((r, c)) or (v if v.startswith("=") and len(v) > 1 else None)
-                        cells.append({"row": r - s, "column": c, "rowspan": 1, "colspan": 1, "text": v, "formula": f, "is_header": r == s})
+                for r in range(s, min(b, s + MOST_ROWS)):
+                    # of a sheet wider than any table is only the filled cells count
+                    for c in range(width) if width <= MOST_COLUMNS else sorted(rows[r]):
+                        cells.append(_cell(r - s, c, rows[r].get(c, ""), formulas.get((r, c)), r == s))
                 out.append(row(page, pos, "table", " | ".join(c["text"] for c in cells), page_name=name, tag="table", role="sheet_range", cells=cells))
                 pos += 1
         for m in media:  # the workbook's media go to every sheet
@@ -317,6 +326,8 @@ def elements(files: DataFrame) -> DataFrame:
                     found = READERS[form](data)
                 except PackageError as e:
                     found = [row(1, 0, "error", warning=str(e))]
+                except Exception as e:  # one broken file must not end the job
+                    found = [row(1, 0, "error", warning=f"OFFICE_READ_FAILED: {type(e).__name__}: {e}")]
                 ids += [doc_id] * len(found)
                 rows += found
             cols = [pa.array(ids, b.schema.field("doc_id").type), *(pa.array([r[f] for r in rows], t) for f, t in FIELDS.items())]
@@ -324,3 +335,25 @@ def elements(files: DataFrame) -> DataFrame:
 
     chosen = files.where(F.col("format").isin(*READERS)).select("doc_id", "format", "content")
     return chosen.mapInArrow(run, f"doc_id {kind}, {DDL}")
+
+
+def media(files: DataFrame) -> DataFrame:
+    """Media of office files (doc_id, format, content): (doc_id, idx, type, name, mime_type, content); broken files have none."""
+    kind = files.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for doc_id, data in zip(b.column("doc_id"), b.column("content")):
+                try:
+                    package = Package(data.as_py())
+                    names = [n for n in package.names if re.match("(word|xl|ppt)/media/", n)]
+                    bodies = [package.zip.read(n) for n in names]
+                except Exception:  # its elements say what is wrong with it
+                    names, bodies = [], []
+                cols = [pa.array([doc_id.as_py()] * len(names), doc_id.type), pa.array(range(len(names)), pa.int32()), pa.array(names, pa.string()), pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "idx", "name", "content"])
+
+    found = files.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, idx int, name string, content binary")
+    ext = F.lower(F.regexp_extract("name", r"\.([^./]+)$", 1))
+    mime = F.create_map(*(F.lit(x) for pair in (("png", "image/png"), ("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("gif", "image/gif"), ("bmp", "image/bmp"), ("svg", "image/svg+xml"), ("tiff", "image/tiff"), ("webp", "image/webp")) for x in pair))[ext]
+    return found.select("doc_id", "idx", F.lit("image").alias("type"), "name", mime.alias("mime_type"), "content")

@@ -75,7 +75,10 @@ def read(files: DataFrame) -> DataFrame:
             for doc_id, data in zip(b.column("doc_id").to_pylist(), b.column("content").to_pylist()):
                 data = data or b""
                 locked = b"/Encrypt" in data
-                text = "" if locked else extract_text(data)
+                try:
+                    text = "" if locked else extract_text(data)
+                except Exception:  # one broken file must not end the job; the error says that it has no text
+                    text = ""
                 hint = len(re.findall(rb"/Type\s*/Page[^s]", data))
                 rows.append((doc_id, text, locked, hint, None if text else "PDF_NATIVE_TEXT_EXTRACTION_FAILED"))
             cols = list(zip(*rows)) or [()] * 5

@@ -36,12 +36,22 @@ def run(stream: DataFrame, process: Callable[[DataFrame], DataFrame], jobs_path:
     def work(batch: DataFrame, number: int) -> None:
         batch.persist()
         good = batch.where("error IS NULL")
+        where, failed = f"{out_path}/batch={number}", {}
         try:
-            process(good).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-            status, why = "completed", F.lit(None).cast("string")
-        except Exception as e:  # one bad batch must not stop the queue; its jobs say why
-            status, why = "failed", F.lit(str(e)[:500])
-        rows = good.select("job_id", "filename", F.lit(status).alias("status"), why.alias("error")).unionByName(batch.where("error IS NOT NULL").select("job_id", "filename", F.lit("failed").alias("status"), "error"))
+            process(good).write.mode("overwrite").parquet(where)
+        except Exception:
+            # a failure is one job's: each is tried alone, as many as a trigger takes
+            ids = [r["job_id"] for r in good.select("job_id").distinct().toLocalIterator()]
+            written = False
+            for job in ids:
+                try:
+                    process(good.where(F.col("job_id") == job)).write.mode("append" if written else "overwrite").parquet(where)
+                    written = True
+                except Exception as e:
+                    failed[job] = str(e)[:500]
+        why = F.create_map(*(F.lit(x) for pair in failed.items() for x in pair))[F.col("job_id")] if failed else F.lit(None).cast("string")
+        rows = good.select("job_id", "filename", why.alias("error")).unionByName(batch.where("error IS NOT NULL").select("job_id", "filename", "error"))
+        rows = rows.select("job_id", "filename", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error")
         rows.withColumn("updated_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{jobs_path}/batch={number}")
         batch.unpersist()
 

@@ -38,7 +38,7 @@ def test_inline_rows_do_not_stand_for_the_tables(spark, folder):
 
     assert set(got("legal_identifiers")) == {(700001, "ИНН", "7701234567"), (700001, "contract_number", "7-Б")}
     assert got("legal_dates") == [(700001, "03.02.2021")]
-    assert (700001, "12 500,75") in got("legal_amounts")
+    assert (700001, "12 500,75", "руб") in got("legal_amounts")
     assert got("legal_parties") == [(700001, "Арендатор")]
     assert got("legal_citations") == [(700001, "ст. 12 ГК РФ")]
     assert got("book_chapters") == [(700002, 1, "Глава 4. Шторм")]
@@ -46,3 +46,18 @@ def test_inline_rows_do_not_stand_for_the_tables(spark, folder):
     assert [(r[1], r[5]) for r in chunks] == [("chunk_table_1", True), ("chunk_2", False)]
     assert {r[0] for r in got("table_chunks")} == {700001, 700002, 700003}
     assert [r[:3] + (r[5], r[6]) for r in got("html_tables", "page_id")] == [(700001, 0, 0, "k", True), (700001, 1, 0, "v", False)]
+
+
+def test_amounts_by_hand(spark, folder):
+    texts = {
+        700001: "Итого 1 250 000,50 руб. и 999, затем 5000 RUB; 12\u00a0345₽ и 7,5",
+        700002: "1000 2000 и 3.50 х4000",
+        700003: "нет сумм: 12, 345, 678",
+        700004: None,
+    }
+    sf = folder(documents=(list(texts.items()), "doc_id long, text string"))
+    got = [tuple(r) for r in QUERIES["legal_amounts"](spark, sf).where("doc_id > 700000").collect()]
+    # whole numbers count from four digits on, with blanks between thousands or without; a letter before ends the match
+    want = {700001: ["1 250 000,50", "12\u00a0345", "5000", "7,5"], 700002: ["1000", "2000", "3.50"]}
+    assert sorted((d, v) for d, v, _ in got) == [(d, v) for d, found in want.items() for v in found]
+    assert {c for d, v, c in got if v == "1 250 000,50"} == {"руб"}
