@@ -356,3 +356,27 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     row = F.struct(*inner)
     repeated = left.where("NOT _gone").groupBy("_id", own_text).agg(F.min_by(row, F.to_json(row)).alias("_row"))
     return once.unionByName(repeated.select(*(F.col("_row")[c].alias(c) for c in inner))).toDF(*names)
+
+
+def _oracle(k: int = 3, percent: int = 85) -> str:
+    """The same rows in DuckDB's SQL, by all pairs that share a shingle; for small tables whose doc_ids are distinct."""
+    shingle = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    return rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: {shingle}))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM words),
+nodes AS (SELECT s, min(doc_id) AS node, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+parts AS (SELECT node, n, unnest(s) AS shingle FROM nodes),
+links AS (
+  SELECT a.node AS a, b.node AS b FROM parts a JOIN parts b ON a.shingle = b.shingle AND a.node < b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT node, node AS other FROM nodes UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
+roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node)
+SELECT x.doc_id, coalesce(len(x.s), 0)::BIGINT AS n_shingles, coalesce(r.root, x.doc_id) AS component_id, coalesce(r.root, x.doc_id) = x.doc_id AS kept
+FROM sets x LEFT JOIN nodes n ON x.s = n.s LEFT JOIN roots r ON r.node = n.node
+"""
+
+
+ORACLE = _oracle()

@@ -74,4 +74,4 @@ QUERIES = {
         op10_token_counts,
     )
 }
-ORACLES = {"op4_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE}
+ORACLES = {"op4_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE, "op8_near_dedup": near_dedup.ORACLE}
