@@ -217,7 +217,7 @@ def fit(spark: SparkSession, findings: DataFrame | None = None, rows: int = 3000
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """``docs`` with ``_findings``: array of (at, core, score, secret) for every candidate."""
+    """``docs`` with ``_found``: array of (at, core, score, secret) for every candidate."""
     names = list(FEATURES)
     judged = f"transform(_found, f -> transform(array({_described()}), v -> named_struct('at', f.at, 'core', f.core, 'score', {forest.sql(names)}))[0])"
     found = docs.withColumn("_found", F.expr(_candidates(f"`{text}`")))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -729,6 +730,59 @@ def test_secrets_found_and_decoys_left(spark):
             assert hashlib.sha256(clean[i]["text"].encode()).hexdigest() == got[i]["redacted_sha256"]
 
 
+def brute_candidates(text):
+    """(number of the word, word, head, core, before, after) in plain Python."""
+    ws = re.split("[ \t-\r]+", text or "")
+    found = set()
+    for i, w in enumerate(ws):
+        before, after = " ".join(ws[max(0, i - 2) : i]), ws[i + 1] if i + 1 < len(ws) else ""
+        cores = []
+        if len(w) >= 12 and re.search("[0-9]", w) and re.search("[A-Za-z0-9+/_-]{12}", w):
+            cores += [c for c in re.findall("[A-Za-z0-9+/_-]{12,}={0,2}", w) if re.search("[0-9]", c)]
+        cores += re.findall(secret_scan.FORMED, w)
+        three = " ".join(ws[max(0, i - 2) : i + 1])
+        cores += [m[2] for m in re.finditer(rf"{secret_scan.SET}{secret_scan.VALUE}(?=\S*$)", three)]
+        found |= {(i + 1, w, w.split(c)[0], c, before, after) for c in cores}
+    return found
+
+
+def brute_features(f):
+    _, word, head, core, before, after = f
+    n, count = len(core), lambda p: len(re.findall(p, core))
+    left = core.lower()
+    left = re.sub("|".join(sorted(secret_scan.DICTIONARY, key=lambda w: (-len(w), w))), "", left)
+    changes = sum(bool(re.match("[a-z][^a-z]|[A-Z][^A-Z]|[0-9][^0-9]", core[i : i + 2], re.S)) for i in range(n - 1))
+    joined = lambda *x: " ".join(x)
+    return [
+        n, count("[0-9]") / n, count("[A-Z]") / n, changes / n, len(set(core)) / n, bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", core)), bool(re.fullmatch("[0-9_/+-]+", core)),
+        1 - len(left) / n, len(re.findall(r"[/\\]|\.[a-z]", word)), bool(re.search("(?i)(https?:|www[.]|@)", word)), count("[_/+-]") / n, bool(re.search(secret_scan.KNOWN_FORMS, core)),
+        count("[^A-Za-z0-9+/_=-]") / n, count("[aeiouyAEIOUY]") / n, bool(re.search("[=:]", head) or re.search("[=:]$", before)),
+        bool(re.search(secret_scan.KEY_WORDS, joined(before, head))), bool(re.search(secret_scan.OTHER_WORDS, joined(before, head, after))),
+    ]
+
+
+def test_report_equals_plain_python(spark):
+    """Candidates, features, verdicts and redaction of whole texts, step by step."""
+    rng = random.Random(27)
+    rows = [(i, r["text"]) for i, r in enumerate(secret_scan.labelled_findings(spark, 300).collect())]
+    rows += [(1000 + i, " ".join(rng.choice([t for _, t in rows[:300]]) for _ in range(rng.randrange(1, 4)))) for i in range(60)]
+    key = "0123456789abcdef0123456789abcdef01234567"
+    rows += [(2000, f'token = "{key}" then password={key}deadbeef99'), (2001, None), (2002, "password: x1!y2 and password : x1!y2."), (2003, "a\tb\n" * 50)]
+    forest = secret_scan.fit(spark)
+    got = as_dict(secret_scan.report(frame(spark, rows), forest))
+    clean = as_dict(secret_scan.redact(frame(spark, rows), forest))
+    for d, text in rows:
+        found = sorted(brute_candidates(text), key=lambda f: (f[0], len(f[2])))
+        scores = forest.predict(np.array([brute_features(f) for f in found], float)) if found else []
+        secret = {f[3] for f, s in zip(found, scores) if s >= 0.5}
+        assert got[d]["n_candidates"] == len(found) and set(got[d]["secrets"]) == secret, (text, found, got[d])
+        want = text
+        for s in sorted(secret, key=len, reverse=True):
+            want = want.replace(s, "[SECRET]") if len(s) >= 12 else re.sub(rf"(?<![A-Za-z0-9]){re.escape(s)}(?![A-Za-z0-9])", "[SECRET]", want)
+        assert clean[d]["text"] == want
+    assert "deadbeef99" not in clean[2000]["text"]
+
+
 def test_forest_sql_equals_forest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 3))
