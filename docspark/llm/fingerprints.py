@@ -18,7 +18,8 @@ The ranges' bounds come from a range partitioning of the bare ids; their number
 
 Defined results: null texts count as empty; a text with fewer than ``least`` lexicon terms is
 hashed over all its terms; empty texts have the fingerprint of no term; equal texts have
-equal fingerprints and likeness 1; documents that share a doc_id follow each other by text; null
+equal fingerprints and likeness 1; documents that share a doc_id follow each other by their first ``LEAD``
+characters and then in a fixed order; null
 doc_ids come first (all documents of one id, or of none, are sorted in one range); a single document is its own successor; an empty table gives an
 empty result. Columns beyond doc_id and text are never read.
 """
@@ -31,6 +32,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,7 @@ from .near_dedup import mix, step_key
 SUBSETS = 24
 PUNCTUATION = bytes.maketrans(b".,;:!?\"'()[]{}|*$%&#<>", b" " * 22)
 LOWEST = -(2**63)
+LEAD = 100
 
 
 def terms_of(data: bytes | None) -> set[bytes]:
@@ -145,7 +148,7 @@ def fingerprint(docs: DataFrame, rows_per_range: int = 20_000, least_ranges: int
     sent = spark.sparkContext.broadcast(terms)
     kind = docs.schema["doc_id"].dataType.simpleString()
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
-    rows = docs.select("doc_id", place.alias("place"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", place.alias("place"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     total = docs.count()
     ranges = max(1, total // rows_per_range, min(least_ranges, total // least_rows))
     starts = range_starts(rows.select("place"), ranges)
@@ -154,30 +157,35 @@ def fingerprint(docs: DataFrame, rows_per_range: int = 20_000, least_ranges: int
 
     def deal(batches):
         """Each document to its range; the first document of a range also closes the one before, of the first range the last."""
-        starts = bounds.value
+        starts, pack = bounds.value, zstandard.ZstdCompressor(1)
         for b in batches:
             at = b.column("place").to_numpy(zero_copy_only=False)
             number = np.searchsorted(starts, at, "right") - 1
+            texts = [t.as_py() for t in b.column("data")]
+            lead = [t[: 4 * LEAD].decode(errors="ignore")[:LEAD].encode() for t in texts]
+            packed = [pack.compress(t) for t in texts]
             first = {}
             for i in np.flatnonzero(starts[number] == at).tolist():
-                text = b.column("text")[i].as_py()
-                if number[i] not in first or text < first[number[i]][0]:
-                    first[number[i]] = (text, i)
-            heads = np.array([i for _, i in first.values()], np.int64)
-            for part, to, after in ((b, number, 0), (b.take(pa.array(heads)), (number[heads] - 1) % len(starts), 1)):
+                if number[i] not in first or (lead[i], packed[i]) < first[number[i]][:2]:
+                    first[number[i]] = (lead[i], packed[i], i)
+            heads = np.array([i for *_, i in first.values()], np.int64)
+            every = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), pa.array(lead, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "place", "lead", "packed"])
+            for part, to, after in ((every, number, 0), (every.take(pa.array(heads)), (number[heads] - 1) % len(starts), 1)):
                 if part.num_rows:
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to, pa.int32()), pa.array(np.full(len(to), after), pa.int32())], names=[*part.schema.names, "range", "after"])
 
-    dealt = rows.mapInArrow(deal, f"doc_id {kind}, place long, text string, range int, after int")
-    dealt = dealt.repartition("range").sortWithinPartitions("range", "after", "place", "text")
+    # texts are the bulk of what is dealt: they go packed
+    dealt = rows.mapInArrow(deal, f"doc_id {kind}, place long, lead binary, packed binary, range int, after int")
+    dealt = dealt.repartition("range").sortWithinPartitions("range", "after", "place", "lead", "packed")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         words = process_cache(("i-match", digest), lambda: Lexicon(sent.value))
-        at = None
+        at, unpack = None, zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for doc_id, text, rng, after in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "range", "after"))):
+            for doc_id, packed, rng, after in zip(*(b.column(c) for c in ("doc_id", "packed", "range", "after"))):
+                doc_id, rng, after, text = doc_id.as_py(), rng.as_py(), after.as_py(), unpack.decompress(packed.as_py()).decode()
                 fp = words.fingerprint(text.encode())
                 if at is not None and at[2] == rng:
                     new = edited(at[1], text).encode()
