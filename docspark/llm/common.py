@@ -20,15 +20,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Where the session names none, a local one, if there are no other machines."""
     known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="docspark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
+    if known:
+        return known
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="docspark-checkpoint-")
+    return _local[context.applicationId]
 
 
 _scratch: list[list[str]] = []

@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 import corpus_pipeline
-from docspark.llm import sentencepiece_codec
+from docspark.llm import common, sentencepiece_codec
 
 from .helpers import frame, labels, words
 
@@ -67,3 +69,62 @@ def test_empty_corpus(spark, tmp_path):
     frame(spark, [], schema).write.parquet(f"{tmp_path}/documents.parquet")
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_awkward_rows(spark, tmp_path):
+    """Repeated rows, ties, rows without id or text, a very long text, and columns named as the stages' own."""
+    rng = random.Random(33)
+    long_text = "\n".join(words(rng, 25, 20_000) for _ in range(2_000))
+    same = "\n".join(words(rng, 20, 4000) for _ in range(5))
+    good = [(i, "\n".join(words(rng, 20, 4000) for _ in range(5)), "en", ["a", None, "", "ä"][i % 4], 7, 0, 0) for i in range(60)]
+    rows = [
+        *good, good[3], good[3], (100, same, "en", "a", 1, 0, 0), (101, same, None, "b", 1, 0, 0), (102, long_text, "en", "b", 1, 0, 0), (None, same, "x", "b", 1, 0, 0),
+        (None, good[5][1], "x", "b", 1, 0, 0), (103, None, None, None, None, 0, 0), (104, "", "en", "", 0, 0, 0), (105, " \n ", "en", "c", 0, 0, 0), (3, same + " other", "en", "a", 1, 0, 0),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int, _number int"
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, [(i, 1, 0) for i in range(20)]).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, counts = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/out_{name}")
+        docs = spark.read.parquet(f"{tmp_path}/out_{name}")
+        counts[name] = [(r["doc_id"], hash(r["text"]) if "text" in docs.columns else None) for r in docs.collect()]
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns
+    # only the base rules can reject, as the labels hold one class
+    assert len(counts["quality_rules"]) == len(rows) - 3 and not {103, 104, 105} & {d for d, _ in counts["quality_rules"]}
+    left = counts["near_dedup"]
+    assert len(left) == len(set(left)) + 0 and sum(d is None for d, _ in left) == 2 and {102, *range(60)} <= {d for d, _ in left}
+    # 3 stands on its own text and on a near copy of 100 and 101, which go
+    assert sum(d == 3 for d, _ in left) == 2 and not {100, 101} & {d for d, _ in left}
+    assert sorted(counts["secret_scan"], key=str) == sorted(left, key=str)
+    assert {d for d, _ in counts["mixing"]} <= {d for d, _ in left} and len(counts["sentencepiece"]) == len(counts["mixing"])
+    assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == len(counts["mixing"])
+
+
+def test_run_leaves_its_last_stage_only(spark, tmp_path, monkeypatch):
+    corpus(spark, str(tmp_path))
+    for module in (common, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert [p.name.split("-")[1] for p in (tmp_path / "shared").iterdir()] == [corpus_pipeline.STAGES[-1][0]]
+
+
+class Session:
+    """A session that names no shared folder."""
+
+    def __init__(self, master):
+        self.conf, self.sparkContext = self, self
+        self.master, self.applicationId = master, f"app of {master}"
+
+    def get(self, key, default):
+        return default
+
+
+def test_a_local_folder_only_where_there_are_no_other_machines():
+    assert common.shared_dir(Session("local[4]")) == common.shared_dir(Session("local[4]"))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://a:7077"):
+        with pytest.raises(ValueError):
+            common.shared_dir(Session(master))
