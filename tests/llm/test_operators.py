@@ -106,6 +106,37 @@ def test_calibration_finds_the_best_allowed_threshold():
     assert quality_rules.calibrate(score, np.zeros(200, bool), 0.05) == (1.0, 0.0)
 
 
+def test_thresholds_count_every_labelled_row(spark):
+    rng = random.Random(41)
+    ids = [r[0] for r in spark.range(3400).selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").collect()]
+    # good rows that look like the bad ones come last by hash: as many as there are bad ones, so nothing may be rejected
+    plain, odd, bad = ids[:3200], ids[3200:3300], ids[3300:]
+    rows = [(i, words(rng, 60, 3000)) for i in plain] + [(i, words(rng, 60, 3000).replace("w", "%%%")) for i in odd + bad]
+    marked = labels(spark, [(i, int(k != "bad"), 0) for k, of in (("plain", plain), ("odd", odd), ("bad", bad)) for i in of])
+    got = as_dict(quality_rules.judge(frame(spark, rows), marked))
+    assert sum(not got[i]["kept"] for i in plain + odd) <= 0.003 * 3300
+
+
+def test_long_documents_are_learned_from(spark):
+    rng = random.Random(42)
+    rows = [(i, words(rng, 80, 3000)) for i in range(60)] + [(i, words(rng, 40_000, 3000).replace("w", "%%%")) for i in range(60, 66)]
+    assert all(len(t) > 200_000 for _, t in rows[60:])
+    got = as_dict(quality_rules.judge(frame(spark, rows), labels(spark, [(i, int(i < 60), 0) for i, _ in rows])))
+    assert [i for i in got if not got[i]["kept"]] == list(range(60, 66)) and not any(r["base_failed"] for r in got.values())
+
+
+def test_every_row_grows_a_tree(spark):
+    rng = np.random.default_rng(43)
+    stats = rng.integers(60, 400, (30_000, len(quality_rules.STATS)))
+    df = spark.createDataFrame([(i if i % 7 else None, *map(int, r)) for i, r in enumerate(stats)], "doc_id long, " + quality_rules.STATS_DDL)
+    for n, trees, share in ((30_000, 100, 1), (500, 20, 11)):
+        forests = quality_rules.grow(df if n == 30_000 else df.limit(n), trees)
+        assert all(f.rows.sum() == n * share and len(f.rows) == trees for f in forests.values())
+    again = quality_rules.grow(df.repartition(7), 100)
+    forests = quality_rules.grow(df, 100)
+    assert all(np.array_equal(getattr(f, a), getattr(again[k], a)) for k, f in forests.items() for a in ("feature", "split", "path"))
+
+
 def test_quality_rules_awkward(spark):
     docs = frame(spark, awkward())
     got = quality_rules.judge(docs, labels(spark)).collect()
