@@ -84,6 +84,8 @@ def tokens_within(sums: DataFrame, limit: int) -> DataFrame:
     return sums.agg((most("tokens_all") - most("tokens_from", above) + most("docs_from", above) * limit).alias("tokens"))
 
 
-def report(docs: DataFrame, **tokenizer) -> DataFrame:
-    # the histogram is read twice; written once, it lets texts be encoded once
-    return suffix_sums(materialize(histogram(lengths(docs, **tokenizer))))
+def report(docs: DataFrame, block: int = 1024, **tokenizer) -> DataFrame:
+    # the histogram is read twice; written once, it lets texts be encoded once. Dealt by block, it takes a file for
+    # each block at most, not for each shuffle partition: for every file the executor starts processes (chmod)
+    hist = histogram(lengths(docs, **tokenizer)).repartition(F.floor(F.col("n_tokens") / block))
+    return suffix_sums(materialize(hist), block)

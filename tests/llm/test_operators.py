@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from docspark.llm import fingerprints, mixing, near_dedup, quality_crf, quality_rules, queries, secret_scan, sentencepiece_codec, token_counts, toxicity, url_filter
+from docspark.llm import common, fingerprints, mixing, near_dedup, quality_crf, quality_rules, queries, secret_scan, sentencepiece_codec, token_counts, toxicity, url_filter
 from docspark.llm.common import crc_remainder
 
 from .helpers import awkward, empty, frame, labels, words
@@ -857,6 +857,28 @@ def test_histogram_answers_every_limit(spark):
     assert token_counts.report(empty(spark)).count() == 0
 
 
+def test_histogram_is_written_by_block(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(token_counts, "materialize", lambda df: written.append(common.materialize(df)) or written[-1])
+    docs = frame(spark, [(i, "a " * i) for i in range(150)] + [(i, None) for i in range(50)])
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = token_counts.report(docs, block=64).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    lengths = Counter(r["n_tokens"] for r in token_counts.lengths(docs).collect())
+    assert len(lengths) > 100 and {r["n_tokens"]: r["docs"] for r in got} == lengths
+    for r in got:
+        assert r["docs_from"] == sum(d for n, d in lengths.items() if n >= r["n_tokens"])
+        assert r["tokens_from"] == sum(n * d for n, d in lengths.items() if n >= r["n_tokens"])
+    # Spark writes a file for the first partition even if it has no rows
+    assert len(written[0].inputFiles()) <= 1 + len({n // 64 for n in lengths})
+
+
 def test_lengths_equal_the_library(spark):
     import tiktoken
 
