@@ -1,16 +1,19 @@
 """SentencePiece encoding and decoding by a shared-prefix forward pass over distinct marked words.
 
-A text's spaces become the mark U+2581 and it falls into marked words (marks, then what
-follows them); no piece of a model crosses the start of a marked word. The distinct words of a batch
-are sorted, which lays them out as a trie in depth-first order, and one stack of forward states
-is kept: going from a word to the next drops the states beyond their common prefix and
-goes on from there.
+A text's spaces become the mark U+2581 and it falls into words: a text is cut wherever no piece
+of the model holds the two characters beside each other. So a word has its marks before it, and
+letters, digits and punctuation are mostly words of their own. No piece crosses a cut, hence words
+are encoded one by one. The distinct words of a batch are sorted, which lays them out as a trie in
+depth-first order, and one stack of forward states is kept: going from a word to the next drops the
+states beyond their common prefix and goes on from there.
 
 For a unigram model the state of a prefix is its best score and last piece (Viterbi). For a
 BPE model scores are merge ranks, and the best sum of ranks isn't the segmentation that merging gives.
 There the state is the last piece of the prefix's own encoding. It is the one piece
 that is stable beside the last piece of the rest: merging the two
 texts gives the two pieces back. This gives the same ids as merging, and shares prefixes too.
+With one more character the last piece is that character or mostly a suffix of the one before
+and it; what these may be is remembered, and longer suffixes are tried only if none of them fits.
 
 Texts stay where they are: no shuffle, and memory is bounded by a batch and the word cache.
 
@@ -109,16 +112,37 @@ class Codec:
         self.longest = max(map(len, self.ids))
         back = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.raw = [back.get(i, b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode()) for i, (p, k) in enumerate(zip(self.text_of, kinds))]
-        self.known = frozenset(p for p in self.ids if len(p) == 1)
-        known = "".join(re.escape(p) for p in self.known if p != MARK)
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
-            unit = f"[{known}{MARK}]+"
-        else:
-            unit = f"{MARK}*[{known}]+|{MARK}+"
-        self.units = re.compile(f"{unit}|(?s:.)").findall
+        self.units = re.compile(self._pattern()).findall
+        self.packed = [struct.pack("=i", i) for i in range(len(self.text_of))]
+        self.pieces = pa.array(self.raw, pa.large_binary())
         self.words: dict[str, bytes] = {}  # 32-bit ids
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
+        self.steps: list[dict[str, int | tuple]] = [{} for _ in self.text_of]
+        self.n_steps = 0
+
+    def _pattern(self) -> str:
+        """Words: marks before a run of characters that some chain of pieces holds side by side."""
+        inner = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)  # marks end or part pieces, too
+        group = {p: p for p in self.ids if len(p) == 1 and (inner or p != MARK)}
+
+        def find(char):
+            while group[char] != char:
+                group[char] = char = group[group[char]]
+            return char
+
+        beside = set()  # characters that some piece holds beside another one
+        for piece in self.ids:
+            for a, b in zip(piece, piece[1:]):
+                if a in group and b in group:
+                    group[find(a)] = find(b)
+                    beside |= {a, b}
+        runs, single = {}, "".join(re.escape(c) for c in group if c not in beside)
+        for c in sorted(beside):
+            runs.setdefault(find(c), []).append(re.escape(c))
+        parts = [f"[{''.join(r)}]+" for r in sorted(runs.values(), key=len, reverse=True)] + ([f"[{single}]"] if single else [])
+        words = [f"(?:{'|'.join(parts)})" if inner else f"{MARK}*(?:{'|'.join(parts)})"] if parts else []
+        return "|".join([*words, *([] if inner else [f"{MARK}+"]), "(?s:.)"])
 
     def merged(self, text: str) -> list[int]:
         """BPE by merging: the best-ranked pair first, the leftmost of equals."""
@@ -165,6 +189,49 @@ class Codec:
                 return piece
         raise AssertionError("every prefix has an encoding")
 
+    def step(self, last: int, char: str) -> int | tuple[tuple[int, int], ...]:
+        """The last piece after ``last`` and a character: the character, or else (size, piece) of longer suffixes of both."""
+        if self.n_steps >= self.most_pairs:
+            for row in self.steps:
+                row.clear()
+            self.n_steps = 0
+        alone, text = self.ids[char], self.text_of[last] + char
+        if self.stable(last, alone):
+            found = alone
+        else:
+            found = tuple((n, self.ids[text[-n:]]) for n in range(2, len(text) + 1) if text[-n:] in self.ids)
+        self.steps[last][char] = found
+        self.n_steps += 1
+        return found
+
+    def last_pieces(self, unit: str, states: list[int]) -> None:
+        """Bring ``states``, those of a prefix, to the whole unit."""
+        steps, pairs = self.steps, self.pairs.get
+        if len(states) == 1:
+            states.append(self.ids[unit[0]])
+        last = states[-1]
+        for end in range(len(states), len(unit) + 1):
+            char = unit[end - 1]
+            found = steps[last].get(char)
+            if found is None:
+                found = self.step(last, char)
+            if found.__class__ is int:
+                last = found
+            else:
+                for n, piece in found:
+                    if n == end:
+                        ok = self.whole(piece)
+                    else:
+                        ok = pairs(states[end - n] << 24 | piece)
+                        if ok is None:
+                            ok = self.stable(states[end - n], piece)
+                    if ok:
+                        last = piece
+                        break
+                else:
+                    last = self.last_piece(unit, end, states)
+            states.append(last)
+
     def best_piece(self, unit: str, end: int, states: list[int], scores: list[float]) -> int:
         best, choice = -np.inf, -1
         for start in range(max(0, end - self.longest), end):
@@ -174,9 +241,10 @@ class Codec:
         scores.append(best)
         return choice
 
-    def encode_units(self, units) -> dict[str, bytes]:
-        """Ids of each distinct unit of known characters."""
-        out, before, states, scores = {}, "", [-1], [0.0]
+    def encode_units(self, units) -> None:
+        """Remember the ids of each distinct unit of known characters."""
+        out, before, states, scores = self.words, "", [-1], [0.0]
+        size, packed = self.size, self.packed
         for unit in sorted(units):
             same = 0
             for x, y in zip(before, unit):
@@ -185,54 +253,41 @@ class Codec:
                 same += 1
             del states[same + 1 :], scores[same + 1 :]
             if self.kind == BPE:
-                for end in range(same + 1, len(unit) + 1):
-                    states.append(self.last_piece(unit, end, states))
+                self.last_pieces(unit, states)
             else:
                 for end in range(same + 1, len(unit) + 1):
                     states.append(self.best_piece(unit, end, states, scores))
             ids, end = [], len(unit)
             while end:
-                ids.append(states[end])
-                end -= self.size[states[end]]
+                piece = states[end]
+                ids.append(packed[piece])
+                end -= size[piece]
             ids.reverse()
-            out[unit] = array("i", ids).tobytes()
+            out[unit] = b"".join(ids)
             before = unit
-        return out
 
     def _other(self, char: str) -> bytes:
         return array("i", [self.byte_ids[b] for b in char.encode()] if self.bytes_too else [self.unknown]).tobytes()
 
-    def _learn(self, keys: set[str]) -> None:
-        """Encode marked words; what lies between characters that the model lacks is a unit."""
-        whole, known = self.known.issuperset, self.ids
-        split = {k: (k,) if whole(k) else self.units(k) for k in keys}
-        units = {u for parts in split.values() for u in parts if len(u) > 1 or u in known}
-        ids = self.encode_units(units)
-        for k, parts in split.items():
-            if len(parts) == 1 and parts[0] in ids:
-                self.words[k] = ids[parts[0]]
-            else:
-                self.words[k] = b"".join(ids[u] if u in ids else self._other(u) for u in parts)
+    def _learn(self, words: set[str]) -> None:
+        """Encode words; a character that the model lacks is a word, too."""
+        lacking = {w for w in words if len(w) == 1 and w not in self.ids}
+        self.words.update((w, self._other(w)) for w in lacking)
+        self.encode_units(words - lacking if lacking else words)
 
     def marked_words(self, text: str) -> list[str]:
         if self.normalizer:
-            marked = self.normalizer.normalize(text)
-        else:
-            if not text:
-                return []
-            if self.prefix and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-                return (MARK + text.replace(" ", f" {MARK}")).split(" ")
-            marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked)
+            return self.units(self.normalizer.normalize(text))
+        return self.units((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else []
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; all new words of the batch go through one traversal."""
-        if len(self.words) > self.most_words:
-            self.words.clear()
         words = [self.marked_words(t or "") for t in texts]
         new = set()
         for w in words:
             new.update(w)
+        if len(self.words) > self.most_words:  # leave what this batch takes
+            self.words = {w: self.words[w] for w in new if w in self.words}
         new.difference_update(self.words)
         self._learn(new)
         get, out = self.words.__getitem__, []
@@ -247,6 +302,14 @@ class Codec:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
+    def decode_batch(self, flat: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of ids that lie one after the other."""
+        raw = self.pieces.take(pa.array(flat))
+        ends = np.frombuffer(raw.buffers()[1], np.int64)[offsets].tolist() if len(flat) else [0] * len(offsets)
+        data = memoryview(raw.buffers()[2] or b"")
+        texts = (str(data[a:b], "utf-8", "replace") for a, b in zip(ends, ends[1:]))
+        return [t[1:] if self.prefix and t[:1] == " " else t for t in texts]
+
 
 def encode(docs: DataFrame, *keep: str, model_file: str = MODEL_FILE) -> DataFrame:
     """``keep`` columns, token_ids, n_tokens, and round_trip: whether decoding gives the text back."""
@@ -263,10 +326,10 @@ def encode(docs: DataFrame, *keep: str, model_file: str = MODEL_FILE) -> DataFra
                 texts = [t or "" for t in b.column("_text").to_pylist()]
                 ids = codec.encode_batch(texts)
                 sizes = [len(x) for x in ids]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                flat = pa.array(np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32))
-                same = pa.array([codec.decode(x.tolist()) == t for x, t in zip(ids, texts)])
-                cols = [*(b.column(k) for k in keep), pa.ListArray.from_arrays(offsets, flat), pa.array(sizes, pa.int32()), same]
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)
+                same = pa.array([x == t for x, t in zip(codec.decode_batch(flat, offsets), texts)], pa.bool_())
+                cols = [*(b.column(k) for k in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes, pa.int32()), same]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "token_ids", "n_tokens", "round_trip"])
         codec.words.clear()  # the worker may serve other stages next
 

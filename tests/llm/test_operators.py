@@ -165,6 +165,47 @@ def test_codec_equals_the_library():
             assert codec.decode(codec.encode_batch([t])[0]) == t
 
 
+def test_codec_does_little_for_new_words():
+    import sentencepiece
+
+    model = open(sentencepiece_codec.MODEL_FILE, "rb").read()
+    lib, codec = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_codec.Codec(model)
+    # words that differ in what stands beside them are encoded once
+    texts = ["thing, thing. thing! thing; (thing) thing\nthing", "a thing|thing"]
+    assert [x.tolist() for x in codec.encode_batch(texts)] == lib.encode(texts)
+    assert set(codec.words) == {"▁thing", "thing", "▁a", "▁(", *",.!;)|\n"}
+    assert all(codec.units(p) == [p] for p in codec.ids)  # no piece is cut
+    # nearly all states come from the one before, without a search over all suffixes
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice(["tion", "er", "the", "ou", "ß", "and", "st", "É", "ing"]) for _ in range(rng.randrange(1, 5))) for _ in range(50)) for _ in range(40)]
+    codec, searches = sentencepiece_codec.Codec(model), []
+    search = codec.last_piece
+    codec.last_piece = lambda *a: searches.append(a) or search(*a)
+    ids = codec.encode_batch(texts)
+    assert [x.tolist() for x in ids] == lib.encode(texts)
+    assert len(searches) < 0.1 * sum(map(len, codec.words))
+    ends = np.cumsum([0] + [len(x) for x in ids])
+    assert codec.decode_batch(np.concatenate(ids), ends) == texts
+    assert codec.decode_batch(np.empty(0, np.int32), np.zeros(3, np.int32)) == ["", ""]
+
+
+@pytest.mark.parametrize("options", [{}, {"split_by_whitespace": False}, {"byte_fallback": True, "split_digits": True, "split_by_unicode_script": False}])
+def test_codec_equals_the_library_on_other_models(options):
+    import io
+
+    import sentencepiece
+
+    rng = random.Random(7)
+    lines = [" ".join("".join(rng.choice("abcdé,.()12жя") for _ in range(rng.randrange(1, 7))) for _ in range(6)) for _ in range(300)]
+    file = io.BytesIO()
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_writer=file, model_type="bpe", vocab_size=400, character_coverage=1.0, minloglevel=2, **options
+    )
+    lib, codec = sentencepiece.SentencePieceProcessor(model_proto=file.getvalue()), sentencepiece_codec.Codec(file.getvalue())
+    texts = ["".join(rng.choice("abcdé,.() 12жяZ日") for _ in range(rng.randrange(60))) for _ in range(300)]
+    assert [x.tolist() for x in codec.encode_batch(texts)] == lib.encode(texts)
+
+
 def unigram_model(pieces):
     def field(n, kind, body):
         return bytes([n * 8 + kind]) + body
