@@ -186,7 +186,7 @@ _NEAR = f"""tok AS (SELECT doc_id, pos, block, {_SIM(x='block')} AS an FROM bloc
 
 @query(f"WITH {_BLOCKS}, {_NEAR} SELECT doc_id, coalesce(near_chars, 0)::BIGINT AS near_chars FROM total LEFT JOIN near USING (doc_id)")
 def dup_ratio_near(spark, sf_dir):
-    return quality.near_duplicates(quality.blocks(docs(spark, sf_dir)))
+    return quality.near_duplicates(docs(spark, sf_dir))
 
 
 @query(
