@@ -198,14 +198,13 @@ def low_confidence_ratio(ocr: DataFrame, limit: float = 0.5) -> DataFrame:
 
 def text_report(docs: DataFrame) -> DataFrame:
     """The quality report of text documents, a row each."""
-    every = blocks(docs)
-    raw = every.groupBy("doc_id").agg(F.sum(F.length("raw")).alias("raw_chars"), F.sum(word_count(F.col("raw"))).alias("raw_words"), F.count_if(F.col("pos") > 0).alias("elements"))
-    joined = docs.select("doc_id", T.is_blank(F.col("text")).alias("blank")).join(raw, "doc_id", "left").join(exact_duplicates(every), "doc_id", "left").join(near_duplicates(docs), "doc_id", "left")
+    blank = F.coalesce(T.is_blank(F.col("text")), F.lit(False))
+    joined = docs.select("doc_id", blank.alias("blank")).join(block_stats(docs, raw=True), "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    ratio = F.round(F.least(F.lit(1.0), (F.col("repeated") + zero("near_chars")) / F.col("chars")), 4)
+    ratio = F.round(F.least(F.lit(1.0), (F.col("repeated") + F.col("near_chars")) / F.nullif("chars", F.lit(0))), 4)
     none = F.lit(0)
     return joined.select(
-        "doc_id", F.lit("txt").alias("format"), F.lit(1).alias("pages"), zero("elements").alias("elements"), zero("raw_chars").alias("chars"), zero("raw_words").alias("words"),
+        "doc_id", F.lit("txt").alias("format"), F.lit(1).alias("pages"), zero("elements").alias("elements"), zero("raw_chars").alias("chars"), zero("words").alias("words"),
         *(none.alias(n) for n in ("tables", "images", "formulas", "ocr_elements")), F.col("blank").cast("int").alias("empty_pages"),
         F.coalesce(ratio, F.lit(0.0)).alias("duplicate_text_ratio"), F.lit(0.0).alias("low_confidence_ocr_ratio"),
     )

@@ -34,7 +34,7 @@ def sf(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["dup_ratio_near"])
+@pytest.mark.parametrize("name", ["dup_ratio_near", "quality_report"])
 def test_awkward_documents_equal_the_sql(spark, sf, name):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
@@ -82,7 +82,7 @@ def test_near_pairs_by_loops():
     assert found > 200
 
 
-@pytest.mark.parametrize(("name", "shuffles", "joins"), [("dup_ratio_near", 1, 0)])
+@pytest.mark.parametrize(("name", "shuffles", "joins"), [("dup_ratio_near", 1, 0), ("quality_report", 2, 1)])
 def test_no_rows_of_lines_or_tokens_are_shuffled_or_joined(spark, sf, name, shuffles, joins):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     prepared = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
