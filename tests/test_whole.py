@@ -1,8 +1,12 @@
 """Queries against every row of a table: small tables, results worked out by hand or by plain loops."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 
 from docspark.plans.registry import QUERIES
+from docspark.sources import html
 
 
 @pytest.fixture
@@ -61,3 +65,23 @@ def test_amounts_by_hand(spark, folder):
     want = {700001: ["1 250 000,50", "12\u00a0345", "5000", "7,5"], 700002: ["1000", "2000", "3.50"]}
     assert sorted((d, v) for d, v, _ in got) == [(d, v) for d, found in want.items() for v in found]
     assert {c for d, v, c in got if v == "1 250 000,50"} == {"руб"}
+
+
+def test_html_elements_leave_after_some_pages_worth(spark, monkeypatch):
+    taken = {}
+    pages = spark.createDataFrame([(1, "<p>x")], "page_id long, html string")
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, run, *a, **k: taken.setdefault("run", run))
+    html.elements(pages)
+    page = "<p>" + "word " * 1000 + "<table><tr><td>1<td>2</table>"
+    given = pa.RecordBatch.from_pydict({"_key": list(range(2003)), "_html": [page] * 2000 + [None, "", page]}, pa.schema([("_key", pa.int64()), ("_html", pa.string())]))
+    sizes, keys = [], []
+    tracemalloc.start()
+    try:
+        for b in taken["run"]([given]):
+            sizes.append(b.num_rows)
+            keys += b.column("page_id").to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert keys == [k for k in range(2003) if k not in (2000, 2001) for _ in range(2)]
+    assert max(sizes) < 600 and peak < 12e6
